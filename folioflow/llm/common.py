@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: The white space that separates words: space and the code points 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -17,17 +20,27 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests, one machine)."""
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in spark.checkpoint.dir; in a temporary one only where none is set (tests, one machine)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    folder = f"{sc.getCheckpointDir()}/tables"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, computed once: a Parquet table in the shared folder, which goes when the application ends.
+
+    A table rather than checkpoint(): it is compressed, read by column, and carries no constraints of the plan that made it, which double
+    with each round of an iteration.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lookup(df: DataFrame, rows: int) -> DataFrame:
@@ -40,24 +53,19 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def arrow_map(df: DataFrame, f: Callable[[list, pa.RecordBatch], dict | None], schema: str, carry: list[str], **kw) -> DataFrame:
-    """mapInArrow by bounded slices of a batch. f(texts, slice) returns the new columns by name; carry names the input columns that stay."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, carry: list[str]) -> DataFrame:
+    """mapInArrow by bounded slices of a batch. f(slice) returns the new columns by name; carry names the input columns that stay."""
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out = f(part)
-                if out is None:
-                    continue
                 cols = {c: part.column(part.schema.names.index(c)) for c in carry} | out
                 arrays = [cols[x.name].cast(x.type) if isinstance(cols[x.name], (pa.Array, pa.ChunkedArray)) else pa.array(cols[x.name], x.type) for x in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.mapInArrow(run, schema, **kw)
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:

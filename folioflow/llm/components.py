@@ -58,7 +58,7 @@ def most_bits(similarity: float) -> int:
 def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the nodes that have links, and the confirmed links (a, b) that prove it.
 
-    nodes: node long, n long (set size), keys array<long>. fetch(table with column node) gives node, members array<long> and s0 to s15, the
+    nodes: node long, keys array<long>. fetch(table with column node) gives node, members array<long> and s0 to s15, the
     sketch. similarity: numerator and denominator; a link has intersection * den >= num * union, tested on the whole sets.
     """
     num, den = similarity
@@ -67,27 +67,24 @@ def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     # another name for the key, so that Spark deals the groups out again and can split the postings of a large group
     shared = cut(postings.join(groups.select(F.expr("k + 0").alias("g"), "c"), F.col("k") == F.col("g")).select("k", "node", "c"))
     weights = shared.groupBy("node").agg(F.sum("c").alias("w"))
-    known = cut(nodes.select("node", "n").join(weights, "node"))
-    count = known.count()
-    sets = cut(fetch(lookup(known.select("node"), count)))
+    known = cut(weights)
+    sets = cut(fetch(lookup(known.select("node"), known.count())))
     sketch = F.struct(*[F.col(f"s{k}") for k in range(SKETCH_WORDS)]).alias("s")
-    facts = known.join(sets.select("node", sketch), "node").select("node", "n", "w", "s")
-    facts = cut(facts)
+    facts = cut(known.join(sets.select("node", F.size("members").alias("n"), sketch), "node").select("node", "n", "w", "s"))
     far = most_bits(num / den)
     near = lambda a, b: (F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num) & (distance(f"{a}.s", f"{b}.s") <= far)
-    empty = cut(known.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    links, roots = empty, components(empty)
-    open_ = shared
+    links = roots = None
+    rooted = shared.select("k", "node", F.col("node").alias("root"))
     for _ in range(CENTRES):
-        rooted = open_.select("k", "node").join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select("k", "node", F.coalesce("root", "node").alias("root"))
         weighed = rooted.join(facts.select(F.col("node").alias("f"), "w"), F.col("node") == F.col("f")).select("k", "node", "root", "w")
         centre = weighed.groupBy("k").agg(F.max(F.struct("w", F.negative("node").alias("m"), "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         centre = centre.select(F.expr("k + 0").alias("g"), F.negative(F.col("top.m")).alias("centre"), F.col("top.root").alias("centre_root"))
         pairs = rooted.join(centre, F.col("k") == F.col("g")).where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        links = cut(links.union(_confirmed(pairs, facts, sets, near, num, den)))
+        found = _confirmed(pairs, facts, sets, near, num, den)
+        links = cut(found if links is None else links.union(found))
         roots = components(links)
-        open_ = cut(_open(shared, roots))
-    rooted = open_.join(facts.withColumnRenamed("node", "f"), F.col("node") == F.col("f")).join(nodes.select(F.col("node").alias("h"), "keys"), F.col("node") == F.col("h"))
+        rooted = cut(_open(shared, roots))
+    rooted = rooted.join(facts.withColumnRenamed("node", "f"), F.col("node") == F.col("f")).join(nodes.select(F.col("node").alias("h"), "keys"), F.col("node") == F.col("h"))
     rooted = cut(rooted.select("k", "node", "root", "n", "s", F.transform("keys", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"), F.array_position("keys", F.col("k")).cast("int").alias("at")))
     x, y = rooted.alias("x"), rooted.alias("y")
     # a pair with several keys in common is made at the first of them alone

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import arrow_map, column, cut, mixed, seeded, shingle_codes, words_of
+from folioflow.llm.common import arrow_map, column, cut, lookup, mixed, seeded, shingle_codes, words_of
 from folioflow.llm.components import SKETCH_WORDS, linked_components
 
 WIDTH, CHUNK, CHUNKS = 5, 5, 10
@@ -94,8 +94,6 @@ def _fetcher(docs: DataFrame, where: DataFrame, width: int):
 
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = cut(nodes.join(where, "node").select("node", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")))
-        from folioflow.llm.common import lookup
-
         few = lookup(wanted, wanted.count())
         rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
         rows = rows.join(few, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
@@ -108,10 +106,10 @@ def _fetcher(docs: DataFrame, where: DataFrame, width: int):
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), width: int = WIDTH) -> DataFrame:
     """One row for each row of docs: doc_id, th, n_shingles, component_id, kept, and set_key, which rows of equal sets share."""
     feats = features(docs, similarity, width)
-    classes = feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("keys").alias("keys"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     where = classes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
-    roots, _ = linked_components(classes.select("node", "n", "keys"), _fetcher(docs, where, width), similarity)
+    roots, _ = linked_components(classes.select("node", "keys"), _fetcher(docs, where, width), similarity)
     rooted = classes.select("set_key", "node", "least").join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select("set_key", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("set_key").alias("c_key"), "component_id", "root")
