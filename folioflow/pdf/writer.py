@@ -117,7 +117,8 @@ class Builder:
         refs = [self.add({"Type": Name("StructElem"), "S": Name(k), "ActualText": Text(t.encode()), "K": n}) for n, (k, t) in enumerate(kinds)]
         root = self.add({"Type": Name("StructElem"), "S": Name("Document"), "K": refs})
         tree = {"Type": Name("StructTreeRoot"), "K": root} | ({"Lang": text_object(lang)} if lang else {})
-        self.catalog |= {"StructTreeRoot": self.add(tree), "MarkInfo": {"Marked": True}} | ({"Lang": text_object(lang)} if lang else {})
+        catalog = self.catalog
+        catalog |= {"StructTreeRoot": self.add(tree), "MarkInfo": {"Marked": True}} | ({"Lang": text_object(lang)} if lang else {})
         return len(refs)
 
     # -- edits of the pages under the root
