@@ -146,10 +146,12 @@ def _in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select(F.col("doc_id").cast("double").alias("d")).where("d is not null")
     bounds = sorted(set(ids.approxQuantile("d", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    ranges = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__d", outputCol="__b")
+    dealt = rows.withColumn("__d", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))).withColumn("__b", F.lit(0.0))
+    if bounds:
+        ranges = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__d", outputCol="__b")
+        dealt = ranges.transform(dealt.drop("__b"))
     # ranges are numbered by falling id; the null ids have the last one
-    dealt = rows.withColumn("__d", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))
-    dealt = ranges.transform(dealt).withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - F.col("__b").cast("int")))
+    dealt = dealt.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - F.col("__b").cast("int")))
     dealt = dealt.select("doc_id", "text", "range")
     first = dealt.groupBy("range").agg(F.max("doc_id").alias("head"), F.min(F.when(F.col("doc_id").isNull(), F.col("text"))).alias("head_text"))
     # a row for each range, as many as there are partitions
@@ -237,18 +239,19 @@ def edit_components(docs: DataFrame, alike: float = 0.9) -> DataFrame:
 
     def keys(part: pa.RecordBatch) -> dict:
         bits = [np.unpackbits(np.frombuffer(bytes.fromhex(t), np.uint8)) for t in column(part, "fingerprint")]
-        return {"keys": [b[_BITS].astype(np.int64) @ _POWERS + (np.arange(BANDS) << 32) for b in bits]}
+        some = [np.packbits(b[:: len(b) // 128][:128]).view(np.int64).tolist() for b in bits]
+        return {"keys": [b[_BITS].astype(np.int64) @ _POWERS + (np.arange(BANDS) << 32) for b in bits], "b0": [x[0] for x in some], "b1": [x[1] for x in some]}
 
     def members(part: pa.RecordBatch) -> dict:
         codes = [np.sort(mixed((_SLOT * 16 + samples(t)).astype(np.uint64) + np.uint64(1))) for t in column(part, "fingerprint")]
         sketches = [sketch(c) for c in codes]
-        return {"members": [c.astype(np.int64) for c in codes]} | {f"s{k}": [int(x[k]) for x in sketches] for k in range(SKETCH_WORDS)}
+        return {"n": [SLOTS] * len(codes), "members": [c.astype(np.int64) for c in codes]} | {f"s{k}": [int(x[k]) for x in sketches] for k in range(SKETCH_WORDS)}
 
-    schema = "node long, members array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
+    schema = "node long, n int, members array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
     fetch = lambda nodes: arrow_map(classes.join(nodes, "node").select("node", "fingerprint"), members, schema, ["node"])
     share = alike * 15 / 16 + 1 / 16
     jaccard = (round(share * SLOTS), 2 * SLOTS - round(share * SLOTS))
-    roots, _ = linked_components(arrow_map(classes.select("node", "fingerprint"), keys, "node long, keys array<long>", ["node"]), fetch, jaccard)
+    roots, _ = linked_components(arrow_map(classes.select("node", "fingerprint"), keys, "node long, keys array<long>, b0 long, b1 long", ["node"]), fetch, jaccard, 128)
     rooted = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("fingerprint").alias("p"), "least", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("class_id")), F.col("root") == F.col("r")).select("p", "class_id")
     return rows.join(lookup(named, named.count()), F.col("fingerprint") == F.col("p")).select("doc_id", "fingerprint", "class_id")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import arrow_map, column
+from folioflow.llm.toxicity import arrays_of
 
 LABELLED, POOL, ROUNDS, TEACH = 4000, 4000, 5, 0.05
 WORDS, SHAPES, META = 1 << 14, 1 << 12, 1 << 10
@@ -177,10 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     wanted = F.broadcast(marks.select("l_id", F.col("y").cast("int").alias("y")).union(free))
     some = docs.join(wanted, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "source", "lang", "n_chars", "y")
     schema = "doc_id long, y int, a_ids array<long>, a_values array<double>, b_ids array<long>"
-    rows = arrow_map(some, _features, schema, ["doc_id", "y"]).limit(labelled + pool).collect()
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["a_ids"]))
-    views = lambda r: ((np.array(r["a_ids"], dtype=np.int64), np.array(r["a_values"], dtype=float)), (np.array(r["b_ids"], dtype=np.int64), np.ones(len(r["b_ids"]))))
-    return co_train([(float(r["y"] > 0), *views(r)) for r in rows if r["y"] >= 0], [views(r) for r in rows if r["y"] < 0])
+    got = arrow_map(some, _features, schema, ["doc_id", "y"]).limit(labelled + pool).toArrow()
+    y, ids = got.column("y").to_numpy(), got.column("doc_id").to_numpy()
+    parts = [arrays_of(got, c) for c in ("a_ids", "a_values", "b_ids")]
+    order = sorted(range(len(y)), key=lambda k: (zlib.crc32(str(ids[k]).encode()), ids[k], parts[0][k].tobytes()))
+    views = lambda k: ((parts[0][k], parts[1][k]), (parts[2][k], np.ones(len(parts[2][k]))))
+    return co_train([(float(y[k] > 0), *views(k)) for k in order if y[k] >= 0], [views(k) for k in order if y[k] < 0])
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -45,13 +45,20 @@ def word_ids(text: str | None) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, features, schema: str) -> list:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, features, schema: str) -> pa.Table:
     """Features of at most so many labelled documents, on the driver. features: a function of texts, run where the texts are."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("l_id"), "y")
     # at most `rows` pairs of numbers are broadcast
     some = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
-    return arrow_map(some.select("text", F.col("y").cast("int").alias("y")), features, schema, ["y"]).limit(rows).collect()
+    return arrow_map(some.select("text", F.col("y").cast("int").alias("y")), features, schema, ["y"]).limit(rows).toArrow()
+
+
+def arrays_of(got: pa.Table, name: str) -> list[np.ndarray]:
+    """The arrays of a list column, without a Python object for each element."""
+    lists = got.column(name).combine_chunks()
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 class Ordinal:
@@ -107,8 +114,8 @@ def telling(sets: list[np.ndarray], y: np.ndarray, least: float = 4.0) -> np.nda
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Ordinal:
     none = Ordinal(np.empty(0, np.int64), np.empty(0), np.full(1, 40.0), float("inf"))
     got = labelled_sample(docs, labels, label, rows, lambda part: {"ids": [word_ids(t) for t in column(part, "text")]}, "y int, ids array<int>")
-    y = np.array([r["y"] for r in got], dtype=int)
-    sets = [np.array(r["ids"], dtype=np.int64) for r in got]
+    y = got.column("y").to_numpy().astype(int)
+    sets = arrays_of(got, "ids")
     if not len(y) or len(set(y)) < 2 or y.min() < 0:
         return none
     words = np.sort(telling(sets, y))
