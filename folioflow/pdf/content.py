@@ -47,7 +47,8 @@ def _inline_image(p: Parser) -> tuple[dict, bytes] | None:
         if p.word(b"ID"):
             break
         try:
-            head[str(p.name())] = p.value()
+            key = str(p.name())
+            head[key] = p.value()
         except (PdfError, IndexError):
             return None
         if p.at >= len(p.data):
