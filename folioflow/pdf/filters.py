@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 
+from folioflow.pdf import fax
 from folioflow.pdf.syntax import Name, PdfError, Stream
 
 # Fixed values
@@ -171,11 +172,7 @@ def predicted(data: bytes, parms: dict) -> bytes:
     return png_predictor(data, *shape) if isinstance(kind, int) and 10 <= kind <= 15 else data
 
 
-def ccitt(data: bytes) -> bytes:
-    raise PdfError("UnsupportedFeature", "CCITT fax data")
-
-
-DECODERS = {"FlateDecode": flate, "ASCIIHexDecode": ascii_hex, "ASCII85Decode": ascii_85, "LZWDecode": lzw, "RunLengthDecode": run_length, "CCITTFaxDecode": ccitt, "DCTDecode": lambda d: d, "JPXDecode": lambda d: d}
+DECODERS = {"FlateDecode": flate, "ASCIIHexDecode": ascii_hex, "ASCII85Decode": ascii_85, "LZWDecode": lzw, "RunLengthDecode": run_length, "DCTDecode": lambda d: d, "JPXDecode": lambda d: d}
 
 
 def filter_names(head: dict) -> list[str]:
@@ -189,12 +186,15 @@ def decode(stream: Stream) -> bytes:
     parms = stream.dict.get("DecodeParms")
     data = stream.data
     for k, name in enumerate(filter_names(stream.dict)):
-        if name not in DECODERS:
-            raise PdfError("UnsupportedFeature", f"filter {name}")
-        data = DECODERS[name](data)
         own = parms if isinstance(parms, dict) and k == 0 else parms[k] if isinstance(parms, list) and k < len(parms) else None
-        if isinstance(own, dict):
-            data = predicted(data, own)
+        own = own if isinstance(own, dict) else {}
+        if name == "CCITTFaxDecode":
+            columns = own.get("Columns", fax.WIDTH)
+            data = fax.decode_g4(data, columns if isinstance(columns, int) and 0 < columns < 1 << 16 else fax.WIDTH)
+        elif name in DECODERS:
+            data = predicted(DECODERS[name](data), own)
+        else:
+            raise PdfError("UnsupportedFeature", f"filter {name}")
     return data
 
 
