@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import copy
 
-from folioflow.pdf import crypto, filters
+from folioflow.pdf import crypto, filters, images
 from folioflow.pdf.document import Document
 from folioflow.pdf.syntax import HexText, Name, PdfError, Ref, Stream, Text, write
 
@@ -35,6 +35,21 @@ class Content:
             self.op("Tj", Text(line))
         return self.op("ET")
 
+    def rect(self, x: float, y: float, width: float, height: float, paint: str = "f") -> Content:
+        return self.op("re", x, y, width, height).op(paint)
+
+    def line(self, x0: float, y0: float, x1: float, y1: float) -> Content:
+        return self.op("m", x0, y0).op("l", x1, y1).op("S")
+
+    def image(self, name: str, x: float, y: float, width: float, height: float) -> Content:
+        return self.op("q").op("cm", width, 0, 0, height, x, y).op("Do", Name(name)).op("Q")
+
+    def marked(self, tag: str, mcid: int, inner: Content) -> Content:
+        """What another content draws, as marked content of a structure element."""
+        self.op("BDC", Name(tag), {"MCID": mcid})
+        self.parts += inner.parts
+        return self.op("EMC")
+
     def bytes(self) -> bytes:
         return b"\n".join(self.parts)
 
@@ -67,6 +82,13 @@ class Builder:
     def font(self, base: str = "Helvetica", encoding: str = "WinAnsiEncoding") -> Ref:
         return self.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name(base), "Encoding": Name(encoding)})
 
+    def image(self, data: bytes) -> Ref:
+        """An image object of a JPEG or PNG file, its alpha as a soft mask."""
+        image, mask = images.from_jpeg(data) if data[:2] == b"\xff\xd8" else images.from_png(data)
+        if mask is not None:
+            image.dict["SMask"] = self.add(mask)
+        return self.add(image)
+
     def page(self, content: bytes | None = None, fonts: dict[str, Ref] | None = None, width: float = 612, height: float = 792, compress: bool = True, **extra) -> Ref:
         page = {"Type": Name("Page"), "Parent": self.catalog["Pages"], "MediaBox": [0, 0, width, height], "Resources": {"Font": dict(fonts or {})}} | extra
         if content is not None:

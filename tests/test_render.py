@@ -109,6 +109,19 @@ def test_images():
         images.from_png(b"no")
 
 
+def test_images_in_documents():
+    rgba = np.zeros((2, 2, 4), np.uint8)
+    rgba[:, 0] = [255, 0, 0, 255]
+    b = writer.Builder()
+    im = b.image(images.png_of(rgba))
+    inner = writer.Content().image("I", 0, 0, 20, 20)
+    ref = b.page(writer.Content().op("g", 0.5).rect(0, 0, 20, 20).marked("Figure", 0, inner).line(0, 0, 20, 0).bytes(), width=20, height=20)
+    b.objects[ref]["Resources"]["XObject"] = {"I": im}
+    d = Document(b.to_bytes())
+    px = render_page(d, d.pages()[0])
+    assert (px[5, 5, :3] == [255, 0, 0]).all() and px[5, 15, 0] == 128 and d.images(d.pages()[0])[0]["width"] == 2
+
+
 WORDS = [("Chapter", 10, 100, 300, 60, 0.9), ("One", 320, 100, 100, 60, 0.9), ("Bödy", 10, 300, 60, 20, 0.9), ("text.", 80, 300, 60, 20, 0.9), ("漢字", 150, 300, 60, 20, 0.9)]
 
 
