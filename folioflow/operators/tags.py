@@ -62,15 +62,18 @@ def adjacent_skips(elems: DataFrame) -> DataFrame:
 
 
 def tables_without_headers(elems: DataFrame) -> DataFrame:
-    """Table elements with no TH below them, numbered in preorder. A subtree is the rows that follow an element at a greater depth."""
-    # the end of a table is the next element that is not deeper; TH rows in between are its own
-    tables_ = elems.where("role = 'Table'").select("doc_id", F.col("dfs_ord").alias("t_ord"), F.col("depth").alias("t_depth"))
-    others = elems.select("doc_id", "dfs_ord", "depth", "role")
-    joined = tables_.join(others, "doc_id").where("dfs_ord > t_ord")
-    ends = joined.groupBy("doc_id", "t_ord").agg(F.min(F.when(F.col("depth") <= F.col("t_depth"), F.col("dfs_ord"))).alias("end"), F.min(F.when(F.col("role") == "TH", F.col("dfs_ord"))).alias("th"))
-    numbered = tables_.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("t_ord")))
-    out = numbered.join(ends, ["doc_id", "t_ord"], "left")
-    return out.where("th is null or th >= end").select("doc_id", F.col("t_ord").alias("dfs_ord"), "i")
+    """Table elements with no TH below them, numbered in preorder.
+
+    The next TH after a table is below it if all rows from the table up to that TH are deeper than the table; if that one isn't, no later one
+    is. So rows are cut in stretches that end with a TH, and each table looks at what is left of its own.
+    """
+    order = Window.partitionBy("doc_id").orderBy("dfs_ord")
+    head = (F.col("role") == "TH").cast("int")
+    rows = elems.select("doc_id", "dfs_ord", "depth", "role").withColumn("stretch", F.coalesce(F.sum(head).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = Window.partitionBy("doc_id", "stretch")
+    rows = rows.withColumn("ends", F.max(head).over(own) == 1).withColumn("least", F.min("depth").over(own.orderBy("dfs_ord").rowsBetween(1, Window.unboundedFollowing)))
+    tables_ = rows.where("role = 'Table'").withColumn("i", F.row_number().over(order))
+    return tables_.where("not (ends and coalesce(least > depth, false))").select("doc_id", "dfs_ord", "i")
 
 
 def validate_ua(elems: DataFrame, trees: DataFrame) -> DataFrame:
