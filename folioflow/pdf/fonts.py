@@ -187,8 +187,3 @@ def font_of(head: dict, resolve, stream_data) -> Font:
     if isinstance(cmap, Stream):
         font.to_unicode = ToUnicode(stream_data(cmap))
     return font
-
-
-def helvetica_width(text: str, size: float) -> float:
-    """The width of text in Helvetica; characters out of its table count as 556."""
-    return sum(HELVETICA[ord(c) - 32] if 32 <= ord(c) < 127 else 556 for c in text) * size / 1000
