@@ -131,3 +131,37 @@ def pdf_edits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_count", F.col("pages")[0]["text"].alias("first_text"), F.col("pages")[0]["rotate"].alias("rotate"), F.element_at("pages", -1)["text"].alias("last_text"))
 
 
+
+
+@query(rf"""WITH {LINES_SQL}, r AS (SELECT doc_id, ltrim(line) AS t FROM lines WHERE line <> '')
+  SELECT doc_id, count(*) + 1 AS elements, count(*) FILTER (regexp_matches(t, '^[•‣●○■▪–—*-]') OR regexp_matches(t, '^\((?:[0-9]{{1,4}}|[A-Za-z]|(?i:i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii))\)')
+    OR regexp_matches(t, '^(?:[0-9]+|[a-z]|i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii)[.):]')) AS items, CAST(sum(strlen(t)) AS BIGINT) > 0 AS has_text, 'en-US' AS lang FROM r GROUP BY doc_id""")
+def pdf_auto_tag_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.sources import raster
+
+    elems, trees = pdf.struct_elements(pdf.parse(raster.auto_tagged(_files(spark, sf_dir)), ["tree"]))
+    counts = elems.groupBy("doc_id").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("struct_type") == "LI").alias("items"), (F.sum(F.octet_length("actual_text")) > 0).alias("has_text"))
+    return counts.join(trees.select("doc_id", F.col("tree_lang").alias("lang")), "doc_id")
+
+
+@query("""SELECT doc_id, standard, CASE standard WHEN 'A1b' THEN 8 WHEN 'A2b' THEN 7 ELSE 4 END AS total, false AS compliant,
+    CASE WHEN standard = 'X4' THEN 1 ELSE 4 + CAST(standard = 'A1b' AS INT) + CAST(doc_id % 2 = 1 AS INT) + CAST(doc_id % 3 > 0 AS INT) END AS passed_count
+  FROM (SELECT doc_id, unnest(['A1b', 'A2b', 'X4']) AS standard FROM documents)""")
+def pdf_standards_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with unembedded fonts and no intent; odd ids have XMP data, those not divisible by 3 no script."""
+    from folioflow.operators import standards
+
+    def make(row: dict) -> bytes:
+        from folioflow.pdf.syntax import Stream
+
+        b = writer.Builder()
+        b.page(writer.Content().text("F1", 12, 72, 720, b"x").bytes(), {"F1": b.font()})
+        if row["doc_id"] % 2:
+            b.catalog["Metadata"] = b.add(Stream({}, b"<pdfaid:part>1</pdfaid:part>"))
+        if row["doc_id"] % 3 == 0:
+            b.catalog["OpenAction"] = {"S": Name("JavaScript")}
+        return b.to_bytes()
+
+    features = pdf.parse(pdf.built(table(spark, sf_dir, "documents").select("doc_id"), make), ["features"]).select("doc_id", "features.*")
+    checks = standards.validate(features, "A1b").union(standards.validate(features, "A2b")).union(standards.validate(features, "X4"))
+    return checks.groupBy("doc_id", "standard").agg(F.count(F.lit(1)).cast("int").alias("total"), F.bool_and("passed").alias("compliant"), F.count_if("passed").cast("int").alias("passed_count"))
