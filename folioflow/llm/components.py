@@ -1,9 +1,10 @@
 """Links and connected components of sets, without all pairs of a group and without collecting links.
 
 `linked_components` takes candidate keys for each set: sets that share no key are never linked, so a caller's keys decide the recall. In
-each group of equal key the most central set is compared with the others; groups that still hold several components get another centre;
-then every pair from different components of a group is compared, once. Groups that have become one component drop out early, which is
-what keeps groups of thousands of near copies linear.
+each group of equal key the most central set is compared with the others (a group of two is a pair); what stays outside its component gets a
+centre of its own. Then every pair from different components of a group is compared, once, unless the masks of both against
+the centre rule a link out. Groups that have become one component drop out early, which is what keeps groups of thousands of near copies
+linear.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, lookup
+from folioflow.llm.common import arrow_map, column, cut, lookup
 
-#: 64-bit words of a set's sketch: one bit of each of 1024 minima.
+#: 64-bit words of a document's sketch: one bit of each of 1024 minima.
 SKETCH_WORDS = 16
 CENTRES = 2
+#: Words of a mask that are columns of their own.
+MASK_WORDS = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,54 +49,98 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def distance(a: str, b: str) -> Column:
+def distance(a: str, b: str, words: int) -> Column:
     """Differing bits of two sketches."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH_WORDS)])
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(words)])
 
 
-def most_bits(similarity: float) -> int:
-    """A pair of this similarity differs in more bits than this with a probability under 1e-6: mean plus 4.8 standard deviations."""
-    n, p = 64 * SKETCH_WORDS, (1 - similarity) / 2
+def share_of_sets(both: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets, in columns one and two as members, are similar enough."""
+    num, den = similarity
+    one, two = F.col("one.members"), F.col("two.members")
+    common = F.size(F.array_intersect(one, two)).cast("long")
+    return both.where(common * den >= (F.size(one).cast("long") + F.size(two).cast("long") - common) * num).select("a", "b")
+
+
+def most_bits(similarity: float, n: int = 64 * SKETCH_WORDS) -> int:
+    """Of n bits a pair of this similarity differs in more than this with a probability of about 1e-6: mean plus 4.8 standard deviations."""
+    p = (1 - similarity) / 2
     return int(n * p + 4.8 * (n * p * (1 - p)) ** 0.5) + 1
 
 
-def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def linked_components(
+    nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity: tuple[int, int], bits: int, words: int = SKETCH_WORDS, confirm: Callable[[DataFrame, tuple[int, int]], DataFrame] = share_of_sets,
+    relate: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the nodes that have links, and the confirmed links (a, b) that prove it.
 
-    nodes: node long, keys array<long>. fetch(table with column node) gives node, members array<long> and s0 to s15, the
-    sketch. similarity: numerator and denominator; a link has intersection * den >= num * union, tested on the whole sets.
+    nodes: node long, keys array<long>, b0 and b1 long: one bit of each of `bits` minima; a node may stand there more than once. fetch(table with
+    column node) gives node, n (size of its set), s0, s1 ... (a sketch of so many words) and what confirm needs, at least once for each node.
+    confirm gets pairs a, b with these rows as structs one and two; so does relate, which gives a, b, mask (array<long>, the members of two that
+    one has) and rest (how many others one has). similarity: numerator and denominator; a link has intersection * den >=
+    num * union on the whole sets.
     """
     num, den = similarity
+    relate = relate or masks_of_sets
     postings = nodes.select("node", F.explode("keys").alias("k"))
-    groups = postings.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    groups = cut(postings.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b"))
+    # a group of two is a pair; most are of unlike sets and end here
+    known_bits = nodes.groupBy("node").agg(F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+    bit = lambda x: known_bits.select(F.col("node").alias(x), F.col("b0").alias(f"{x}0"), F.col("b1").alias(f"{x}1"))
+    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    two = groups.where("c = 2").select("a", "b").distinct().join(bit("a"), "a").join(bit("b"), "b")
+    two = cut(two.where(differ <= most_bits(num / den, bits)).select("a", "b"))
+    more = groups.where("c > 2")
     # another name for the key, so that Spark deals the groups out again and can split the postings of a large group
-    shared = cut(postings.join(groups.select(F.expr("k + 0").alias("g"), "c"), F.col("k") == F.col("g")).select("k", "node", "c"))
-    weights = shared.groupBy("node").agg(F.sum("c").alias("w"))
-    known = cut(weights)
-    sets = cut(fetch(lookup(known.select("node"), known.count())))
-    sketch = F.struct(*[F.col(f"s{k}") for k in range(SKETCH_WORDS)]).alias("s")
-    facts = cut(known.join(sets.select("node", F.size("members").alias("n"), sketch), "node").select("node", "n", "w", "s"))
-    far = most_bits(num / den)
-    near = lambda a, b: (F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num) & (distance(f"{a}.s", f"{b}.s") <= far)
-    links = roots = None
-    rooted = shared.select("k", "node", F.col("node").alias("root"))
+    shared = cut(postings.join(lookup(more.select(F.expr("k + 0").alias("g"), "c"), more.count()), F.col("k") == F.col("g")).select("k", "node", "c"))
+    weighed = shared.select("node", "c").union(two.select("a", F.lit(0).cast("long"))).union(two.select("b", F.lit(0).cast("long")))
+    known = cut(weighed.groupBy("node").agg(F.sum("c").alias("w")))
+    count = known.count()
+    sets = cut(fetch(lookup(known.select("node"), count)))
+    if sets.count() != count:  # rows repeated in full give a node's row again
+        sets = cut(sets.dropDuplicates(["node"]))
+    sketch = F.struct(*[F.col(f"s{k}") for k in range(words)]).alias("s")
+    facts = cut(known.join(sets.select("node", "n", sketch), "node").select("node", "n", "w", "s"))
+    far = most_bits(num / den, 64 * words)
+    payload = sets.drop("n", *[f"s{k}" for k in range(words)])
+    near = lambda a, b: (F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num) & (distance(f"{a}.s", f"{b}.s", words) <= far)
+    links = cut(_confirmed(two, facts, payload, near, similarity, confirm))
+    used = None
     for _ in range(CENTRES):
-        weighed = rooted.join(facts.select(F.col("node").alias("f"), "w"), F.col("node") == F.col("f")).select("k", "node", "root", "w")
-        centre = weighed.groupBy("k").agg(F.max(F.struct("w", F.negative("node").alias("m"), "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        centre = centre.select(F.expr("k + 0").alias("g"), F.negative(F.col("top.m")).alias("centre"), F.col("top.root").alias("centre_root"))
-        pairs = rooted.join(centre, F.col("k") == F.col("g")).where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        found = _confirmed(pairs, facts, sets, near, num, den)
-        links = cut(found if links is None else links.union(found))
         roots = components(links)
         rooted = cut(_open(shared, roots))
-    rooted = rooted.join(facts.withColumnRenamed("node", "f"), F.col("node") == F.col("f")).join(nodes.select(F.col("node").alias("h"), "keys"), F.col("node") == F.col("h"))
-    rooted = cut(rooted.select("k", "node", "root", "n", "s", F.transform("keys", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"), F.array_position("keys", F.col("k")).cast("int").alias("at")))
+        left = rooted
+        if used is not None:
+            # the components of earlier centres have had theirs; what they may still be linked with comes with the rest
+            at = used.join(roots.select(F.col("node").alias("of"), "root"), F.col("centre") == F.col("of"), "left").select(F.col("g").alias("u_k"), F.coalesce("root", "centre").alias("u_root"))
+            left = rooted.join(at, (F.col("k") == F.col("u_k")) & (F.col("root") == F.col("u_root")), "left_anti")
+        weighty = left.join(facts.select(F.col("node").alias("f"), "w"), F.col("node") == F.col("f")).select("k", "node", "root", "w")
+        centre = weighty.groupBy("k").agg(F.max(F.struct("w", F.negative("node").alias("m"), "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        centre = cut(centre.select(F.expr("k + 0").alias("g"), F.negative(F.col("top.m")).alias("centre"), F.col("top.root").alias("centre_root")))
+        used = centre.select("g", "centre") if used is None else used.union(centre.select("g", "centre"))
+        pairs = left.join(centre, F.col("k") == F.col("g")).where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        links = cut(links.union(_confirmed(pairs, facts, payload, near, similarity, confirm)))
+    rooted = cut(_open(shared, components(links)))
+    # what each set shares with the centre of its group, as a mask, and how much it has besides: two sets have no more in common than both
+    # masks and the lesser rest, so pairs of copies that were changed in different places needn't be made
+    centres = rooted.join(facts.select(F.col("node").alias("f"), "w"), F.col("node") == F.col("f")).groupBy("k").agg(F.max(F.struct("w", F.negative("node").alias("m"))).alias("top"))
+    rooted = cut(rooted.join(centres.select(F.expr("k + 0").alias("g"), F.negative(F.col("top.m")).alias("centre")), F.col("k") == F.col("g")).select("k", "node", "root", "centre"))
+    masks = relate(_looked_up(rooted.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), payload)).withColumnsRenamed({"a": "m_node", "b": "m_centre"})
+    own = nodes.join(rooted.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("h"), "keys").dropDuplicates(["h"])
+    rooted = rooted.join(facts.withColumnRenamed("node", "f"), F.col("node") == F.col("f")).join(own, F.col("node") == F.col("h")).join(masks, (F.col("node") == F.col("m_node")) & (F.col("centre") == F.col("m_centre")))
+    rooted = cut(rooted.select("k", "node", "root", "n", "s", F.struct(*[F.coalesce(F.get("mask", F.lit(k)), F.lit(0).cast("long")).alias(f"m{k}") for k in range(MASK_WORDS)]).alias("m"), F.slice("mask", MASK_WORDS + 1, F.size("mask")).alias("mask"), "rest", F.transform("keys", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"), F.array_position("keys", F.col("k")).cast("int").alias("at")))
     x, y = rooted.alias("x"), rooted.alias("y")
     # a pair with several keys in common is made at the first of them alone
     first = ~F.exists(F.zip_with(F.slice("x.keys", F.lit(1), F.col("x.at") - 1), F.slice("y.keys", F.lit(1), F.col("y.at") - 1), lambda p, q: p == q), lambda z: z)
-    rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near("x", "y") & first)
+    # most masks are short; what goes beyond the first words is counted only where there is any
+    further = F.aggregate(F.zip_with("x.mask", "y.mask", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda t, c: t + c)
+    shared_bits = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.m.m{k}").bitwiseAND(F.col(f"y.m.m{k}"))) for k in range(MASK_WORDS)]) + F.when(F.size("x.mask") > 0, further).otherwise(F.lit(0))
+    enough = lambda common: common * den >= (F.col("x.n") + F.col("y.n") - common) * num
+    rests = F.least("x.rest", "y.rest")
+    able = enough(F.least(F.col("x.n") - F.col("x.rest"), F.col("y.n") - F.col("y.rest")) + rests) & enough(shared_bits.cast("long") + rests)
+    rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near("x", "y") & able & first)
     pairs = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = cut(links.union(_confirmed(pairs, facts, sets, near, num, den)))
+    links = cut(links.union(_confirmed(pairs, facts, payload, near, similarity, confirm)))
     return components(links), links
 
 
@@ -102,13 +151,29 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(several, F.col("k") == F.col("g")).select("k", "node", "root")
 
 
-def _confirmed(pairs: DataFrame, facts: DataFrame, sets: DataFrame, near, num: int, den: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, facts: DataFrame, payload: DataFrame, near, similarity: tuple[int, int], confirm) -> DataFrame:
     """The pairs whose whole sets are similar enough; pairs of far sketches or unlike sizes can't be and are not looked up."""
     u, v = facts.alias("u"), facts.alias("v")
     close = pairs.join(u, F.col("a") == F.col("u.node")).join(v, F.col("b") == F.col("v.node")).where(near("u", "v")).select("a", "b")
-    left = sets.select(F.col("node").alias("p"), F.col("members").alias("one"))
-    right = sets.select(F.col("node").alias("q"), F.col("members").alias("two"))
-    both = close.join(left, F.col("a") == F.col("p")).join(right, F.col("b") == F.col("q"))
-    common = F.size(F.array_intersect("one", "two")).cast("long")
-    union = F.size("one").cast("long") + F.size("two").cast("long") - common
-    return both.where(common * den >= union * num).select("a", "b")
+    return confirm(_looked_up(close, payload), similarity)
+
+
+def _looked_up(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    whole = lambda x, name: payload.select(F.col("node").alias(x), F.struct(*payload.columns).alias(name))
+    both = pairs.join(whole("p", "one"), F.col("a") == F.col("p")).join(whole("q", "two"), F.col("b") == F.col("q"))
+    return both.select("a", "b", "one", "two")
+
+
+def mask_of(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, int]:
+    """The members of two (in their order) that one has, as bits of signed longs, and how many others one has."""
+    bits = np.zeros(-(-len(two) // 64) * 64, np.uint8)
+    bits[: len(two)] = np.isin(two, one)
+    return np.packbits(bits).view(np.int64), len(one) - int(bits.sum())
+
+
+def masks_of_sets(both: DataFrame) -> DataFrame:
+    def f(part: pa.RecordBatch) -> dict:
+        pairs = [mask_of(np.array(x), np.array(y)) for x, y in zip(column(part, "one"), column(part, "two"), strict=True)]
+        return {"mask": [m for m, _ in pairs], "rest": [r for _, r in pairs]}
+
+    return arrow_map(both.select("a", "b", F.col("one.members").alias("one"), F.col("two.members").alias("two")), f, "a long, b long, mask array<long>, rest long", ["a", "b"])

@@ -12,6 +12,8 @@ columns stay out of the way; an empty table gives no row.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -50,33 +52,51 @@ def chunk_keys(signature: np.ndarray, chunk: int) -> np.ndarray:
         return mixed(left_out + np.arange(1, m * chunk + 1, dtype=np.uint64).reshape(m, chunk) * np.uint64(0x9E3779B97F4A7C15)).ravel().astype(np.int64)
 
 
-def sketch(codes: np.ndarray) -> np.ndarray:
-    """One bit of each of 1024 minima, packed in 16 signed longs."""
-    n = 64 * SKETCH_WORDS
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """One bit of each of up to 128 minima, in two signed longs."""
+    bits = np.zeros(128, np.uint8)
+    bits[: len(values)] = mixed(values + (np.arange(len(values), dtype=np.uint64) << np.uint64(32))) & np.uint64(1)
+    return np.packbits(bits).view(np.int64)
+
+
+def sketch(codes: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """One bit of each of 64 minima a word, packed in signed longs."""
+    n = 64 * words
     low = (codes >> np.uint64(32)).astype(np.uint32) ^ codes.astype(np.uint32)
     best = np.full(n, np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        for k in range(0, len(low), 512):
-            np.minimum(best, (low[None, k : k + 512] * _SA[:, None] + _SB[:, None]).min(axis=1), out=best)
+        for k in range(0, len(low), 128):  # rows of hashes, so that minima go along whole rows and stay in the cache
+            rows = low[k : k + 128, None] * _SA[None, :n]
+            rows += _SB[None, :n]
+            np.minimum(best, rows.min(axis=0), out=best)
         bits = (mixed(best.astype(np.uint64) + (np.arange(n, dtype=np.uint64) << np.uint64(32))) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
+def shape_of(similarity: tuple[int, int]) -> tuple[int, int]:
+    """Places in a chunk, and chunks."""
+    return (CHUNK, CHUNKS) if similarity[0] * 100 >= 85 * similarity[1] else (CHUNK_LOW, CHUNKS_LOW)
+
+
 def features(docs: DataFrame, similarity: tuple[int, int], width: int = WIDTH) -> DataFrame:
     """doc_id, th (hash of the text), n, set_key (digest of the set, null if empty) and keys for each row; cut."""
-    chunk, chunks = (CHUNK, CHUNKS) if similarity[0] * 100 >= 85 * similarity[1] else (CHUNK_LOW, CHUNKS_LOW)
+    chunk, chunks = shape_of(similarity)
 
     def f(part: pa.RecordBatch) -> dict:
-        ns, digests, keys = [], [], []
+        out: dict[str, list] = {k: [] for k in ("n", "set_key", "keys", "b0", "b1")}
         for text in column(part, "text"):
             codes = shingle_codes(words_of(text), width)
-            ns.append(len(codes))
-            digests.append(xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None)
-            keys.append(chunk_keys(minima(codes, chunk * chunks), chunk) if len(codes) else None)
-        return {"n": ns, "set_key": digests, "keys": keys}
+            if len(codes):
+                values = minima(codes, chunk * chunks)
+                row = (len(codes), xxhash.xxh3_128_digest(codes.tobytes()), chunk_keys(values, chunk), *bits_of(values).tolist())
+            else:
+                row = (0, None, None, None, None)
+            for k, v in zip(out, row, strict=True):
+                out[k].append(v)
+        return out
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    return cut(arrow_map(rows, f, "doc_id long, th long, n long, set_key binary, keys array<long>", ["doc_id", "th"]))
+    return cut(arrow_map(rows, f, "doc_id long, th long, n long, set_key binary, keys array<long>, b0 long, b1 long", ["doc_id", "th"]))
 
 
 def _fetcher(docs: DataFrame, where: DataFrame, width: int):
@@ -88,17 +108,16 @@ def _fetcher(docs: DataFrame, where: DataFrame, width: int):
             codes = shingle_codes(words_of(text), width)
             members.append(codes.astype(np.int64))
             sketches.append(sketch(codes))
-        return {"members": members} | {f"s{k}": [int(x[k]) for x in sketches] for k in range(SKETCH_WORDS)}
+        return {"n": [len(m) for m in members], "members": members} | {f"s{k}": [int(x[k]) for x in sketches] for k in range(SKETCH_WORDS)}
 
-    schema = "node long, members array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
+    schema = "node long, n int, members array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
 
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = cut(nodes.join(where, "node").select("node", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")))
         few = lookup(wanted, wanted.count())
         rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
         rows = rows.join(few, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
-        # repeated rows give a node more than once
-        return arrow_map(rows, f, schema, ["node"]).dropDuplicates(["node"])
+        return arrow_map(rows, f, schema, ["node"])
 
     return fetch
 
@@ -106,10 +125,10 @@ def _fetcher(docs: DataFrame, where: DataFrame, width: int):
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), width: int = WIDTH) -> DataFrame:
     """One row for each row of docs: doc_id, th, n_shingles, component_id, kept, and set_key, which rows of equal sets share."""
     feats = features(docs, similarity, width)
-    classes = feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("keys").alias("keys"))
+    classes = feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("keys").alias("keys"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     where = classes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
-    roots, _ = linked_components(classes.select("node", "keys"), _fetcher(docs, where, width), similarity)
+    roots, _ = linked_components(classes.select("node", "keys", "b0", "b1"), _fetcher(docs, where, width), similarity, math.prod(shape_of(similarity)))
     rooted = classes.select("set_key", "node", "least").join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select("set_key", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("set_key").alias("c_key"), "component_id", "root")
