@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,6 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: After so many tables the driver collects its garbage.
+COLLECT = 6
+_CUTS = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once: a Parquet table in the shared folder, which goes when the application ends.
 
@@ -40,6 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_CUTS) % COLLECT == 0:
+        # Spark drops the shuffle files and broadcasts of past rounds only when the driver's collector finds their handles unused
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,11 +73,13 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, c
                 cols = {c: part.column(part.schema.names.index(c)) for c in carry} | out
                 arrays = [cols[x.name].cast(x.type) if isinstance(cols[x.name], (pa.Array, pa.ChunkedArray)) else pa.array(cols[x.name], x.type) for x in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
+            # workers live on between tasks; what they don't need goes back
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most so many rows or bytes of text (one row at least)."""
     name = next((x.name for x in batch.schema if pa.types.is_string(x.type) or pa.types.is_large_string(x.type)), None)
     if name is None:
@@ -90,13 +101,15 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.names.index(name)).to_pylist()
 
 
+#: Words that a worker remembers at most.
+CACHED = 150_000
 _WORDS: dict[bytes, int] = {}
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a bounded cache holds those of frequent words."""
     cache = _WORDS
-    if len(cache) > 500_000:
+    if len(cache) > CACHED:
         cache.clear()
     h = xxhash.xxh3_64_intdigest
     out = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import arrow_map, column
+from folioflow.llm.common import CACHED, arrow_map, column
 from folioflow.llm.toxicity import arrays_of
 
 LABELLED, POOL, ROUNDS, TEACH = 4000, 4000, 5, 0.05
@@ -43,7 +43,7 @@ def shape(word: str) -> str:
 def content(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sparse features of a text: square roots of the shares of its words and shapes, over a common norm."""
     cache = _WORDS
-    if len(cache) > 500_000:
+    if len(cache) > CACHED:
         cache.clear()
     total: dict[int, int] = {}
     for w, n in Counter((text or "").split()).items():

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioflow.llm.common import arrow_map, column
+from folioflow.llm.common import CACHED, arrow_map, column, slices
 
 TRAIN_ROWS = 8000
 SPACE = 1 << 18
@@ -34,7 +35,7 @@ _IDS: dict[str, int] = {}
 def word_ids(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of the words (runs of letters, lower case) of a text."""
     ids = _IDS
-    if len(ids) > 500_000:
+    if len(ids) > CACHED:
         ids.clear()
     out = set()
     for w in set(LETTERS.findall((text or "").lower())):
@@ -116,6 +117,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     got = labelled_sample(docs, labels, label, rows, lambda part: {"ids": [word_ids(t) for t in column(part, "text")]}, "y int, ids array<int>")
     y = got.column("y").to_numpy().astype(int)
     sets = arrays_of(got, "ids")
+    # rows come in no fixed order, and sums of floats depend on it
+    order = sorted(range(len(y)), key=lambda k: (y[k], sets[k].tobytes()))
+    y, sets = y[order], [sets[k] for k in order]
     if not len(y) or len(set(y)) < 2 or y.min() < 0:
         return none
     words = np.sort(telling(sets, y))
@@ -169,16 +173,16 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     table, limit = (model.words, model.weights, model.thresholds), model.cut
     names = docs.columns
-    import pyspark.sql.types as T
-
-    schema = T.StructType([*docs.schema.fields])
+    schema, order = T.StructType([*docs.schema.fields]), docs.columns
 
     def run(batches):
         weights = np.zeros(SPACE)
         weights[table[0]] = table[1]
         for batch in batches:
-            sums = np.array([weights[word_ids(t)].sum() for t in column(batch, "text")])
-            keep = ~(Ordinal(*table, 0).grades(sums).sum(axis=1) >= limit) if len(sums) else np.empty(0, bool)
-            yield batch.filter(pa.array(keep))
+            for part in slices(batch.select(["text", *[c for c in batch.schema.names if c != "text"]])):
+                sums = np.array([weights[word_ids(t)].sum() for t in column(part, "text")])
+                keep = ~(Ordinal(*table, 0).grades(sums).sum(axis=1) >= limit)
+                yield part.select(order).filter(pa.array(keep))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema).select(*names)
