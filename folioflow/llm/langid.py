@@ -226,8 +226,9 @@ def predict(docs: DataFrame, model: Field | None) -> DataFrame:
         if model is None:
             return {"lang_pred": [UNKNOWN] * len(documents), "score": [0.0] * len(documents)}
         best, scores = [], []
-        for post in label(model, documents):
-            if len(post):
+        for words, post in zip(documents, label(model, documents), strict=True):
+            # runs may consist of marks or number signs alone
+            if any(c.isalpha() for w in words for c in w):
                 mean = post.mean(axis=0)
                 k = int(mean.argmax())
                 best.append(model.languages[k])

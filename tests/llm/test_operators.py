@@ -1,0 +1,530 @@
+"""Each operator of the subpackage against a brute-force version, and on the cases with defined results."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from folioflow.llm import components, edits, jpeg, langid, lines, media, mixing, neardup, packing, quality, sharding, toxicity
+from folioflow.llm.common import words_of
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, node string"
+WORDS = "the of and to in is that for with on as by it from this be are was at not alpha beta gamma delta".split()
+
+
+def table(spark, rows):
+    """Documents, with two columns more whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "s", "n") for i, t, lang, src in rows], SCHEMA)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randint(0, 40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty fields, ties, repeated rows, white space, long words and texts, and other scripts."""
+    rng = random.Random(3)
+    long = prose(rng, 3000)
+    rows = [
+        (1, None, None, None), (None, "no id " + prose(rng, 30), "en", "a"), (2, "", "en", "a"), (3, " \t\n ", "en", None), (4, long, "en", "a"), (5, long, "en", "b"), (6, long + " more", "en", "b"),
+        (7, "twin", "de", "c"), (7, "twin", "de", "c"), (8, "x" * 5000, "fr", "c"), (9, "日本語のテキスト 😀 ñandú", "es", "d"), (10, "a\n\nb\na", "en", "d"), (None, None, None, None), (11, "one two three", "en", "a"), (12, "One two  three", "en", "a"),
+    ]
+    rows += [(100 + k, prose(rng, 60), "en", "a") for k in range(30)]
+    base = prose(rng, 80).split()
+    for k in range(20):
+        w = list(base)
+        w[rng.randrange(80)] = f"edit{k}"
+        rows.append((200 + k, " ".join(w) + "\nshared line number one of all these texts\n" + prose(rng, 12), "en", "b"))
+    return table(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, []).limit(0)
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def input_of(df):
+    return [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+
+
+# -- 1
+
+
+def test_packing(odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    want = Counter()
+    for i, text, _ in input_of(odd):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    pieces = rows_of(packing.pack(odd))
+    assert len({p["sequence_id"] for p in pieces}) == len(pieces) and all(p["offset"] == 0 for p in pieces)
+    got, at = Counter(), 0
+    for k, p in enumerate(sorted(pieces, key=lambda p: p["sequence_id"])):
+        assert p["length"] & (p["length"] - 1) == 0 and p["length"] <= 2048 and len(p["ids"]) == p["length"] and p["bucket"] == int(math.log2(p["length"]))
+        assert p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes())
+        if p["start"] == 0:
+            ids = []
+        assert p["start"] == len(ids)
+        ids += p["ids"]
+        if len(ids) == p["doc_tokens"]:
+            got[p["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+            at += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["", " ", "a" * 3000, " " * 5000 + "x", "\n" * 3000, "<|endoftext|> x", "don't  stop it now", "日本語 😀 naïve ÅΩ", "\x00\x01﻿", "12345 67.8", "é‍🏽"])
+def test_ids_are_those_of_the_library(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    assert packing.encoder(packing.default_vocabulary())(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_piece_lengths():
+    assert packing.piece_lengths(5) == [4, 1] and packing.piece_lengths(4096 + 3) == [2048, 2048, 2, 1] and packing.piece_lengths(2048) == [2048]
+
+
+# -- 2
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    total, left, target = sum(sizes.values()), set(order), {}
+    rest = total
+    while left:
+        w = sum(weight[s] for s in left)
+        over = [s for s in left if rest * weight[s] / w > 3 * sizes[s] + 1e-9]
+        if not over:
+            target |= {s: rest * weight[s] / w for s in left}
+            break
+        for s in over:
+            target[s] = 3 * sizes[s]
+            rest -= target[s]
+            left.discard(s)
+    return target
+
+
+def test_mixing(odd):
+    sizes, n = defaultdict(int), Counter()
+    for i, text, src in input_of(odd):
+        sizes[src] += len(words_of(text))
+        n[i, src, len(words_of(text))] += 1
+    target = brute_targets(sizes)
+    got = rows_of(mixing.mix_documents(odd))
+    by_id = {(i, size): src for i, src, size in n}
+    assert Counter((r["doc_id"], by_id[r["doc_id"], r["size"]], r["size"]) for r in got) == n
+    taken = defaultdict(int)
+    for r in got:
+        src = by_id[r["doc_id"], r["size"]]
+        assert r["source_size"] == sizes[src] and r["target"] == pytest.approx(target[src]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[src] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 2 for s in sizes)
+    assert sorted(map(str, got)) == sorted(map(str, rows_of(mixing.mix_documents(odd.repartition(7)))))
+
+
+def test_mixed_documents_are_whole(odd):
+    had = Counter(map(str, rows_of(odd)))
+    got = Counter(map(str, rows_of(mixing.mixed_documents(odd))))
+    assert set(got) <= set(had) and all(got[k] <= 3 * had[k] for k in got)
+
+
+def test_mixing_repeated_rows(spark):
+    docs = table(spark, [(1, "a b c d", "en", "x")] * 30 + [(2, "a b", "en", "y")] * 10)
+    got = rows_of(mixing.mix_documents(docs))
+    assert sum(r["taken"] for r in got if r["doc_id"] == 2) == pytest.approx(60, abs=10) and len(got) == 40
+
+
+# -- 3
+
+
+def brute_walk(text):
+    """Output characters of the walk, place by place."""
+    c, j, out = edits.classes_of(text), 0, []
+    for k in c:
+        while True:
+            out.append(int(k))
+            last = int(edits.STAYS[k, j % edits.PERIOD]) == 1
+            j += 1
+            if last:
+                break
+    return out
+
+
+def test_walks_step_by_step():
+    rng = random.Random(1)
+    texts = ["", "a", "é😀", prose(rng, 40), prose(rng, 7)] + [prose(rng, rng.randint(1, 30)) for _ in range(60)]
+    for t, print_ in zip(texts, edits.fingerprints(texts), strict=True):
+        walk = brute_walk(t)
+        want = np.zeros(edits.SLOTS, np.uint8)
+        for k in range(edits.SLOTS if walk else 0):
+            place = max(r for r in edits._RECORDS[k] if r <= len(walk))
+            want[k] = edits._NIBBLES[k, walk[place - 1]]
+        assert (want == print_).all()
+
+
+def test_likeness_follows_edits():
+    rng = random.Random(2)
+    t = prose(rng, 300)
+    few, many = t.replace("the", "tho", 3), t[: len(t) // 2] + prose(rng, 150)
+    a, b, c, d = edits.fingerprints([t, few, many, prose(rng, 300)])
+    assert edits.likeness(a, a) == 1 and edits.likeness(a, b) > 0.85 > edits.likeness(a, c) > 0.4 > edits.likeness(a, d)
+
+
+def test_fingerprint_documents(odd):
+    src = sorted(((i, t or "") for i, t, _ in input_of(odd)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(src):
+        nxt, half = src[(k + 1) % len(src)][1], len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        a, b, c = edits.fingerprints([t, edited, nxt])
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), edits.as_text(a), edits.as_text(b), round(edits.likeness(a, b), 9), round(edits.likeness(a, c), 9)] += 1
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows_of(edits.fingerprint_documents(odd)))
+    assert got == want
+
+
+def test_edit_components(spark):
+    rng = random.Random(4)
+    base = prose(rng, 200)
+    near = [base, base.replace("the", "thy", 1), base + "!"]
+    docs = table(spark, [(k, t, "en", "a") for k, t in enumerate([*near, prose(rng, 200), base, None, ""])])
+    got = {r["doc_id"]: r["class_id"] for r in rows_of(edits.edit_components(docs))}
+    assert got[0] == got[1] == got[2] == got[4] == 0 and got[3] == 3 and got[5] == got[6] == 5
+
+
+# -- 4
+
+
+def test_media(odd):
+    got = Counter()
+    for r in rows_of(media.media_of_documents(odd)):
+        got[r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]] += 1
+        assert r["media_bytes"] > 0 and len(r["media_sha256"]) == 64 and r["feature"]
+    want = Counter()
+    for i, t, _ in input_of(odd):
+        raw = (t or "").encode()
+        p = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        want[i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
+    assert got == want
+
+
+def test_any_bytes_come_back():
+    r = np.random.default_rng(1)
+    payloads = [r.integers(0, 256, 192 * k, dtype=np.uint8).tobytes() for k in (1, 2, 7, 8, 9, 40)] + [bytes([128]) * 192 * 20, bytes([128] * 191 + [3]) * 9, (bytes([128] * 40 + [255] + [0] * 20) * 40)[:1920]]
+    images = jpeg.decode(jpeg.encode(payloads))
+    assert [jpeg.stored_bytes(i) for i in images] == payloads
+
+
+def huffman_by_bits(table):
+    codes, code, at = {}, 0, 16
+    for n in range(1, 17):
+        for _ in range(table[n - 1]):
+            codes[format(code, f"0{n}b")] = table[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return codes
+
+
+def brute_dc(data):
+    """Luminance DC values of a 4:4:4 file, bit by bit."""
+    image = jpeg.parse(data)
+    scan = image.scans[0]
+    tables = [[huffman_by_bits(t) for t in pair] for pair in scan.tables]
+    out = []
+    for seg in scan.segments:
+        bits, at, last = "".join(format(b, "08b") for b in seg), 0, [0, 0, 0]
+
+        def symbol(table):
+            nonlocal at
+            n = next(n for n in range(1, 17) if bits[at : at + n] in table)
+            at += n
+            return table[bits[at - n : at]]
+
+        def number(size):
+            nonlocal at
+            v = int(bits[at : at + size] or "0", 2)
+            at += size
+            return v if not size or v >> (size - 1) else v - (1 << size) + 1
+
+        while len(bits) - at >= 8 and len(out) < (image.width // 8) * (image.height // 8):
+            for c in range(3):
+                last[c] += number(symbol(tables[c][0]))
+                k = 1
+                while k < 64:
+                    rs = symbol(tables[c][1])
+                    if rs == 0:
+                        break
+                    k += rs >> 4
+                    number(rs & 15)
+                    k += 1
+                if c == 0:
+                    out.append(last[0])
+    return out
+
+
+def test_decoder_against_bits():
+    payload = bytes(range(256)) * 3 + b"Text of a page, " * 36
+    data = jpeg.encode([payload])[0]
+    image = jpeg.decode([data])[0]
+    assert image.blocks[0][:, :, 0].ravel().tolist() == brute_dc(data)
+    assert jpeg.thumbnail(image).shape == (image.height // 8, image.width // 8) and jpeg.thumbnail(image)[0, 0] == payload[0]
+
+
+def test_damaged_files_have_an_error(spark):
+    good = jpeg.encode([b"x" * 192])[0]
+    df = spark.createDataFrame([(k, bytearray(b) if b is not None else None) for k, b in enumerate([good, None, b"", b"GIF89a", good[:40], good[:-30]])], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in rows_of(media.read_images(df))}
+    assert got[0]["error"] is None and (got[0]["width"], got[0]["height"]) == (8, 8) and all(got[k]["error"] and got[k]["width"] is None for k in range(1, 6))
+
+
+# -- 5, 7, 9
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(5)
+    docs, labels = [], []
+    for k in range(600):
+        words = prose(rng, rng.randint(20, 80)).split()
+        toxic, bad = k % 5 == 0, k % 4 == 1
+        if toxic:
+            for w in rng.sample(["vile", "awful", "nasty"], rng.randint(1, 3)):
+                words.insert(rng.randrange(len(words)), w)
+        if bad:
+            words = [w + rng.choice(["$$$", "%%%"]) for w in words]
+        docs.append((k, " ".join(words), "en", f"s{k % 3}"))
+        if k % 2 or k % 5 == 0:
+            labels.append((k, int(not bad), int(toxic)))
+    return table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality(labelled, odd, empty):
+    docs, labels = labelled
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["keep"] for r in rows_of(quality.score(docs, model))}
+    assert sum(got[k] == (k % 4 != 1) for k in range(600)) >= 590
+    assert len(rows_of(quality.score(odd, model))) == odd.count() and quality.score(empty, model).count() == 0
+    assert {r["quality"] for r in rows_of(quality.qualities(odd, labels.limit(0)))} == {0.5}
+
+
+def test_toxicity(labelled, odd, empty):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    assert (np.diff(model.thresholds) > 0).all()
+    got = {r["doc_id"]: r for r in rows_of(toxicity.score(docs, model))}
+    assert sum(got[k]["rejected"] == (k % 5 == 0) for k in range(600)) >= 597
+    kept = {r["doc_id"] for r in rows_of(toxicity.without_toxic(docs, labels))}
+    assert kept == {k for k in got if not got[k]["rejected"]}
+    assert len(rows_of(toxicity.score(odd, model))) == odd.count() and toxicity.score(empty, model).count() == 0
+    none = rows_of(toxicity.severities(odd, labels.limit(0)))
+    assert not any(r["rejected"] for r in none) and toxicity.without_toxic(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_ordinal_fit_recovers_thresholds():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2, (4000, 3)).astype(float)
+    p = 1 / (1 + np.exp(-((x @ [2.0, -1.0, 0.5])[:, None] - np.array([-0.5, 1.5])[None])))
+    y = (rng.random(4000)[:, None] < p).sum(axis=1)
+    w, theta = toxicity.fit_ordinal(x, y, ridge=0)
+    assert np.allclose(w, [2, -1, 0.5], atol=0.25) and np.allclose(theta, [-0.5, 1.5], atol=0.25)
+
+
+VOICES = {"aa": "the and of to in with that".split(), "bb": "der und die das mit nicht ein".split(), "cc": "le la les et dans que pour".split()}
+
+
+def test_language(spark, odd, empty):
+    rng = random.Random(7)
+    rows = []
+    for k in range(240):
+        lang = sorted(VOICES)[k % 3]
+        rows.append((k, " ".join(rng.choice(VOICES[lang]) + rng.choice(["", "x", "y"]) for _ in range(30)), lang, "s"))
+    docs = table(spark, rows)
+    got = rows_of(langid.languages_of(docs))
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert held and sum(r["lang_pred"] == sorted(VOICES)[r["doc_id"] % 3] for r in held) >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in got)
+    model = langid.train(docs)
+    post = langid.label(model, ["the and of to in".split() + "der und die das mit".split()])[0]
+    assert [model.languages[k] for k in post.argmax(axis=1)] == ["aa"] * 5 + ["bb"] * 5
+    und = {r["doc_id"] for r in rows_of(langid.predict(odd, model)) if r["lang_pred"] == "und"}
+    assert {1, 2, 3} <= und and 9 not in und and langid.languages_of(empty).count() == 0
+    assert {r["lang_pred"] for r in rows_of(langid.predict(odd, None))} == {"und"}
+    assert rows_of(langid.predict(table(spark, [(1, "² 3 ½ __ 7", "en", "s")]), model))[0]["lang_pred"] == "und"
+
+
+def test_forward_backward_against_all_paths():
+    import itertools
+
+    model = langid.Field(["a", "b", "c"], [set(), set(), set()])
+    rng = np.random.default_rng(8)
+    model.transitions, model.starts = rng.normal(size=(3, 3)), rng.normal(size=3)
+    scores = rng.normal(size=(4, 2, 3))
+    post, _ = model.posteriors(scores, np.array([4, 2]))
+    for chain, n in ((0, 4), (1, 2)):
+        want, z = np.zeros((n, 3)), 0
+        for path in itertools.product(range(3), repeat=n):
+            s = model.starts[path[0]] + sum(scores[t, chain, k] for t, k in enumerate(path)) + sum(model.transitions[a, b] for a, b in zip(path, path[1:], strict=False))
+            z += math.exp(s)
+            for t, k in enumerate(path):
+                want[t, k] += math.exp(s)
+        assert np.allclose(post[:n, chain], want / z)
+
+
+# -- 6, 10
+
+
+def union_find(n):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    return parent, find
+
+
+def brute_components(sets, num, den):
+    parent, find = union_find(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and common * den >= num * (len(sets[i]) + len(sets[j]) - common):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates(odd, empty):
+    src = input_of(odd)
+    sets = []
+    for _, t, _ in src:
+        w = words_of(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = brute_components(sets, 85, 100)
+    least: dict[int, int | None] = {}
+    for (i, _, _), r in zip(src, root, strict=True):
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    want = Counter((i, len(s), i if not s else least[r], i == (i if not s else least[r])) for (i, _, _), s, r in zip(src, sets, root, strict=True))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(neardup.near_duplicate_rows(odd)))
+    assert got == want and neardup.near_duplicate_rows(empty).count() == 0
+    kept = neardup.without_near_duplicates(odd)
+    assert kept.columns == odd.columns and Counter(r["doc_id"] for r in rows_of(kept))[7] == 1
+
+
+def test_a_group_with_spread_out_copies(spark):
+    """Copies near a common base but not all near each other: links that only other copies have must not be lost."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 6])):
+            w[at] = f"e{k}_{at}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    root = brute_components(sets, 85, 100)
+    least = {r: min(k for k, x in enumerate(root) if x == r) for r in root}
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(neardup.near_duplicate_rows(table(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])))}
+    assert got == {k: least[r] for k, r in enumerate(root)} and len(set(got.values())) > 2
+
+
+def test_chunk_keys_meet_for_all_pairs_under_the_threshold():
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 16, 50).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(50, 19, replace=False)] ^= np.uint64(1)
+        assert set(neardup.chunk_keys(a, 5).tolist()) & set(neardup.chunk_keys(b, 5).tolist())
+
+
+def test_components_of_chains(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, 5), (205, 200), (205, 210)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[k] == 0 for k in range(61)) and got[101] == got[100] == 100 and got[210] == got[205] == got[200] == 200
+
+
+def test_line_dedup(odd, empty):
+    src = sorted(((i, xxhash.xxh64_intdigest((t or "").encode()), t) for i, t, _ in input_of(odd)), key=lambda r: (r[0] is not None, r[0] or 0))
+    found = [(i, n, lines.normal(x)) for i, _, t in src for n, x in enumerate((t or "").split("\n")) if lines.normal(x)]
+    distinct = sorted({x for _, _, x in found})
+    sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in distinct]
+    root = dict(zip(distinct, brute_components(sets, 80, 100), strict=True))
+    first: dict[int, tuple] = {}
+    for i, n, x in found:
+        first.setdefault(root[x], (i, n))
+    want = Counter()
+    for i, _, t in src:
+        want[i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not lines.normal(x) or first[root[lines.normal(x)]] == (i, n))] += 1
+    got = Counter((r["doc_id"], r["text"]) for r in rows_of(lines.cleaned_documents(odd)))
+    # of the pairs under the signatures' reach one in forty may be missed at the threshold; there are none in this table
+    assert got == want and lines.cleaned_documents(empty).count() == 0
+    assert lines.without_duplicate_lines(odd).columns[:-2] == odd.columns
+
+
+# -- 8
+
+
+def brute_shard(doc_id, shards):
+    def u(s):
+        h = 42 if doc_id is None else xxhash.xxh64_intdigest(int(doc_id).to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), h)
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53)
+
+    return min(range(shards), key=u)
+
+
+def test_sharding(odd, empty):
+    got = rows_of(sharding.shard_documents(odd))
+    want = Counter()
+    for i, t, _ in input_of(odd):
+        raw = (t or "").encode()
+        want[i, len(raw) + 8, zlib.crc32(raw), "key", brute_shard(i, 24), brute_shard(i, 25)] += 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in got) == want
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert all(r["grown_shard"] in (r["shard"], 24) for r in got) and sharding.shard_documents(empty).count() == 0
+    assert sorted(map(str, got)) == sorted(map(str, rows_of(sharding.shard_documents(odd.repartition(5)))))
+
+
+def test_weights_share_the_keys(spark):
+    n = Counter(r["shard"] for r in sharding.assign(spark.range(20000).withColumnRenamed("id", "key"), "key", [1.0, 3.0]).collect())
+    assert n[1] / n[0] == pytest.approx(3, rel=0.1)
+
+
+# -- all
+
+
+@pytest.mark.parametrize("f", [packing.packed_documents, mixing.mix_documents, mixing.mixed_documents, edits.fingerprint_documents, media.media_of_documents])
+def test_empty_tables_give_no_row(empty, f):
+    assert f(empty).count() == 0
+
+
+def test_pipeline(spark, tmp_path, labelled):
+    import corpus_pipeline
+
+    docs, labels = labelled
+    docs.drop("shard", "node").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = step.columns
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        step = f(spark, step, str(tmp_path))
+        assert step.columns == names
+        step.write.parquet(path := f"{tmp_path}/{f.__name__}")
+        step = spark.read.parquet(path)
+    want = Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in rows_of(packing.packed_documents(step)))
+    got = Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in rows_of(corpus_pipeline.run(spark, str(tmp_path))))
+    assert got == want and got
