@@ -19,6 +19,8 @@ from folioflow.pdf.images import to_rgba
 from folioflow.pdf.syntax import Name, PdfError, Stream, Text, number_of, rect_of
 
 SAMPLES, CURVE, FORMS = 4, 12, 12
+#: Cells of a tiling pattern that are drawn one by one; more are repeated from one period.
+FEW_CELLS = 16
 
 
 def apply(m: tuple, x: float, y: float) -> tuple[float, float]:
@@ -105,10 +107,10 @@ class State:
 
 
 class Canvas:
-    """Premultiplied colour and alpha."""
+    """Premultiplied colour and alpha. zoom: pixels of this canvas along one of the page."""
 
-    def __init__(self, width: int, height: int, background=None):
-        self.width, self.height = width, height
+    def __init__(self, width: int, height: int, background=None, zoom: int = 1):
+        self.width, self.height, self.zoom = width, height, zoom
         self.rgb, self.alpha = np.zeros((height, width, 3)), np.zeros((height, width))
         if background is not None:
             self.rgb[:], self.alpha[:] = background, 1.0
@@ -154,7 +156,7 @@ class Renderer:
         def stroke() -> None:
             scale = abs(self.s.ctm[0] * self.s.ctm[3] - self.s.ctm[1] * self.s.ctm[2]) ** 0.5
             parts = self.dashed(paths, scale) if self.s.dash[0] else paths
-            self.fill_area(coverage(stroke_polygons(parts, self.s.width * scale), self.canvas.width, self.canvas.height), self.s.stroke, self.s.stroke_alpha, depth)
+            self.fill_area(coverage(stroke_polygons(parts, max(self.s.width * scale, 0.7 * self.canvas.zoom)), self.canvas.width, self.canvas.height), self.s.stroke, self.s.stroke_alpha, depth)
 
         def show(b: bytes) -> None:
             nonlocal tm
@@ -315,7 +317,7 @@ class Renderer:
             s.mask = None
         elif isinstance(mask, dict) and isinstance(group := self.doc.get(mask, "G"), Stream) and depth < FORMS:
             lum = self.doc.get(mask, "S") == "Luminosity"
-            canvas = Canvas(self.canvas.width, self.canvas.height, np.zeros(3) if lum else None)
+            canvas = Canvas(self.canvas.width, self.canvas.height, np.zeros(3) if lum else None, self.canvas.zoom)
             inner = Renderer(self.doc, canvas, s.ctm)
             inner.form(group, None, depth + 1)
             s.mask = luminosity(canvas.rgb) if lum else canvas.alpha
@@ -331,22 +333,56 @@ class Renderer:
             self.tile(color, cover, alpha, depth)
 
     def tile(self, pattern: Stream, cover: np.ndarray, alpha: float, depth: int) -> None:
-        """The pattern's cell at every step of its grid that meets the canvas."""
+        """The pattern's cell, clipped to its box, at every step of its grid that meets the covered area.
+
+        A few cells are drawn where they stand. Of more, one period of the grid is drawn at SAMPLES times the resolution, and each covered
+        pixel takes the mean of its samples there, so the number of cells doesn't matter.
+        """
         h, w = cover.shape
         m = self.doc.get(pattern.dict, "Matrix")
         base = self.stack[0].ctm if self.stack else self.s.ctm
         ctm = concat(tuple(map(float, m)), base) if m else base
         dx, dy = (abs(number_of(self.doc.get(pattern.dict, k)) or 0.0) for k in ("XStep", "YStep"))
         back = inverse(ctm)
-        if not dx or not dy or back is None:
+        rows, cols = np.flatnonzero(cover.any(axis=1)), np.flatnonzero(cover.any(axis=0))
+        if not dx or not dy or back is None or not len(rows):
             return
-        corners = [apply(back, x, y) for x in (0, w) for y in (0, h)]
-        xs, ys = [c[0] for c in corners], [c[1] for c in corners]
-        canvas, data = Canvas(w, h), filters.decode(pattern)
-        cells = [(i, j) for i in range(int(min(xs) // dx) - 1, int(max(xs) // dx) + 2) for j in range(int(min(ys) // dy) - 1, int(max(ys) // dy) + 2)]
-        for i, j in cells[:4096]:
-            inner = Renderer(self.doc, canvas, concat((1, 0, 0, 1, i * dx, j * dy), ctm))
-            inner.run(data, self.doc.get(pattern.dict, "Resources"), depth + 1)
+        top, bottom, left, right = int(rows[0]), int(rows[-1]) + 1, int(cols[0]), int(cols[-1]) + 1
+        corners = [apply(back, x, y) for x in (left, right) for y in (top, bottom)]
+        box = rect_of(self.doc.get(pattern.dict, "BBox")) or [0.0, 0.0, dx, dy]
+        steps, lows, highs = (dx, dy), (min(box[0], box[2]), min(box[1], box[3])), (max(box[0], box[2]), max(box[1], box[3]))
+        area = [(min(c[k] for c in corners), max(c[k] for c in corners)) for k in (0, 1)]
+
+        def met(k: int, lo: float, hi: float) -> range:
+            """Places along an axis whose cells meet a stretch of it."""
+            return range(int(np.floor((lo - highs[k]) / steps[k] + 1e-9)) + 1, int(np.ceil((hi - lows[k]) / steps[k] - 1e-9)))
+
+        data, res = filters.decode(pattern), self.doc.get(pattern.dict, "Resources")
+
+        def draw(canvas: Canvas, ctm: tuple, across: range, along: range) -> None:
+            for i in across:
+                for j in along:
+                    inner = Renderer(self.doc, canvas, concat((1, 0, 0, 1, i * dx, j * dy), ctm))
+                    inner.s.clip = coverage([[apply(inner.s.ctm, *p) for p in (lows, (highs[0], lows[1]), highs, (lows[0], highs[1]))]], canvas.width, canvas.height)
+                    inner.run(data, res, depth + 1)
+
+        canvas, across, along = Canvas(w, h, zoom=self.canvas.zoom), met(0, *area[0]), met(1, *area[1])
+        if len(across) * len(along) <= FEW_CELLS:
+            draw(canvas, ctm, across, along)
+        else:
+            # a period starts at the edge of a cell; where less than a period is covered, only that is drawn
+            parts = [(lows[k], steps[k]) if area[k][1] - area[k][0] >= steps[k] else (area[k][0], area[k][1] - area[k][0]) for k in (0, 1)]
+            (ox, lx), (oy, ly) = parts
+            nx, ny = (max(1, int(np.ceil(v * np.hypot(*side) - 1e-6))) * SAMPLES for v, side in ((lx, ctm[:2]), (ly, ctm[2:4])))
+            one = Canvas(nx, ny, zoom=self.canvas.zoom * SAMPLES)
+            draw(one, (nx / lx, 0, 0, ny / ly, -ox * nx / lx, -oy * ny / ly), met(0, ox, ox + lx), met(1, oy, oy + ly))
+            rgb, seen = canvas.rgb[top:bottom, left:right], canvas.alpha[top:bottom, left:right]
+            for k in range(SAMPLES * SAMPLES):
+                yy, xx = np.mgrid[top:bottom, left:right] + (np.array([k // SAMPLES, k % SAMPLES]).reshape(2, 1, 1) + 0.5) / SAMPLES
+                u, v = xx * back[0] + yy * back[2] + back[4], xx * back[1] + yy * back[3] + back[5]
+                at = np.clip((((v - oy) % dy) * (ny / ly)).astype(int), 0, ny - 1), np.clip((((u - ox) % dx) * (nx / lx)).astype(int), 0, nx - 1)
+                rgb += one.rgb[at] / SAMPLES**2
+                seen += one.alpha[at] / SAMPLES**2
         self.canvas.paint(cover * canvas.alpha, np.where(canvas.alpha[..., None] > 0, canvas.rgb / np.maximum(canvas.alpha[..., None], 1e-9), 0), self.s, alpha)
 
     def shade(self, shading, cover: np.ndarray, ctm: tuple, alpha: float) -> None:
@@ -394,7 +430,7 @@ class Renderer:
         elif self.doc.get(x.dict, "Subtype") == "Form":
             group = self.doc.get(x.dict, "Group")
             if self.doc.get(group, "S") == "Transparency":
-                canvas = Canvas(self.canvas.width, self.canvas.height)
+                canvas = Canvas(self.canvas.width, self.canvas.height, zoom=self.canvas.zoom)
                 inner = Renderer(self.doc, canvas, self.s.ctm)
                 inner.s.fill, inner.s.stroke, inner.s.width = self.s.fill, self.s.stroke, self.s.width
                 inner.form(x, res, depth + 1)

@@ -70,6 +70,30 @@ def test_shadings_and_patterns():
     assert (px[5, 2, :3] == [255, 0, 0]).all() and (px[5, 7] == 255).all() and (px[5, 12, :3] == [255, 0, 0]).all()
 
 
+def test_patterns_of_many_cells():
+    def painted(page, steps=(10, 10), size=600, matrix=None, cell=b"1 0 0 rg 0 0 5 10 re f", box=(0, 0, 10, 10)):
+        head = {"PatternType": 1, "XStep": steps[0], "YStep": steps[1], "BBox": list(box)} | ({"Matrix": matrix} if matrix else {})
+        return drawn(b"/Pattern cs /P scn " + page, size=size, resources={"Pattern": {"P": Stream(head, cell)}})[..., :3]
+
+    red, at = [255, 0, 0], np.arange(800)
+    assert (painted(b"0 0 80 80 re f", steps=(1, 1), size=80, cell=b"1 0 0 rg 0 0 1 1 re f", box=(0, 0, 1, 1)) == red).all()
+    px = painted(b"0 0 800 800 re f", size=800)  # 6400 cells
+    assert (px[:, at % 10 < 5] == red).all() and (px[:, at % 10 >= 5] == 255).all()
+    px = painted(b"750 20 20 20 re f", size=800)  # a few of them, far right
+    assert (px[760:780, 750:755] == red).all() and (px[760:780, 755:760] == 255).all() and (px[760:780, 760:765] == red).all() and (px[:, :750] == 255).all()
+    px = painted(b"0 0 800 800 re f", steps=(2, 2), size=800, cell=b"1 0 0 rg 0 0 1 2 re f", box=(0, 0, 2, 2))  # 160000 cells
+    assert (px[:, ::2] == red).all() and (px[:, 1::2] == 255).all()
+    # the grid is that of the matrix, whatever the number of cells: one pixel of a turned, uneven grid against the formula
+    turned = [0.8, 0.6, -0.6, 0.8, 3, 4]
+    px = painted(b"0 0 300 300 re f", steps=(12, 9), size=300, matrix=turned, cell=b"1 0 0 rg 0 0 6 9 re f", box=(0, 0, 12, 9))
+    yy, xx = np.mgrid[0:300, 0:300] + 0.5
+    u = ((xx - 3) * 0.8 + (300 - yy - 4) * 0.6) % 12
+    assert (px[(u > 1) & (u < 5)] == red).all() and (px[(u > 7) & (u < 11)] == 255).all()
+    # cells wider than the step lie over each other, and what stands out of the box is cut
+    px = painted(b"0 0 200 200 re f", size=200, cell=b"1 0 0 rg 0 0 12 3 re f 0 0 1 rg 0 5 40 3 re f", box=(0, 0, 12, 6))
+    assert (px[::-1][:, 20:][at[:200] % 10 < 3] == red).all() and (px[::-1][:, 20:][at[:200] % 10 == 5] == [0, 0, 255]).all() and (px[::-1][at[:200] % 10 > 5] == 255).all()
+
+
 def test_text_images_and_rotation():
     assert (drawn(b"BT /F1 20 Tf 2 2 Td (A) Tj ET")[10, 6, :3] == 0).all() and (drawn(b"BT 3 Tr /F1 20 Tf 2 2 Td (A) Tj ET") == 255).all()
     im = Stream({"Subtype": Name("Image"), "Width": 2, "Height": 1, "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}, b"\x00\xc8")
