@@ -31,13 +31,13 @@ _WORDS: dict[str, tuple[int, int]] = {}
 
 
 def shape(word: str) -> str:
-    """Capitals X, other letters x, digits 0, the rest as it is; runs count once."""
-    out = ""
-    for c in word[:40]:
+    """Capitals X, other letters x, digits 0, the rest as it is; runs count once. All characters of the word are read."""
+    out = [""]
+    for c in word:
         k = "X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c
-        if not out.endswith(k):
-            out += k
-    return out[:12]
+        if out[-1] != k:
+            out.append(k)
+    return "".join(out)
 
 
 def content(text: str | None) -> tuple[np.ndarray, np.ndarray]:

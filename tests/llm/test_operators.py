@@ -319,6 +319,12 @@ def test_quality(labelled, odd, empty):
     assert {r["quality"] for r in rows_of(quality.qualities(odd, labels.limit(0)))} == {0.5}
 
 
+def test_shapes_cover_whole_words():
+    assert quality.shape("日本語" * 20 + "。12") == "x。0" and quality.shape("a1" * 30) == "x0" * 30 and quality.shape("") == "" and quality.shape("Word") == "Xx"
+    one, two = (quality.content("字" * 50 + end)[0] for end in ("。", "、"))
+    assert set(one[one >= quality.WORDS]) != set(two[two >= quality.WORDS])
+
+
 def test_toxicity(labelled, odd, empty):
     docs, labels = labelled
     model = toxicity.train(docs, labels)
