@@ -6,7 +6,7 @@ between the languages of neighbouring words are learned with them, from sentence
 distribution; a document's language has the largest mean over its words, and that mean is the score.
 
 Training takes about PER_LANGUAGE documents of each language (those of small hash) and TRAIN_WORDS words of each, on the driver. Prediction
-covers all words of all documents; chains are WINDOW words long.
+covers all words of all documents, each of which is one chain; the chains of training are WINDOW words long.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without training documents every one is; a null doc_id is not held
 out and not learned from; repeated rows get equal results; further columns are left out; an empty table gives no row.
@@ -26,6 +26,8 @@ from folioflow.llm.common import arrow_map, column, mixed, seeded
 
 PER_LANGUAGE, TRAIN_WORDS = 1200, 60
 WINDOW = 64
+#: Words in a batch of chains that are decoded together; a longer document is a batch of its own.
+CELLS = 8192 * 64
 SPACE_BITS = 17
 LEXICON = 300
 GRAMS = (2, 3, 4)
@@ -198,23 +200,23 @@ def label(model: Field, documents: list[list[str]]) -> list[np.ndarray]:
     table = model.emissions(list(index))
     n = len(model.languages)
     counts = [len(words) for words in documents]
-    lengths, at = [], []
-    total = 0
-    for c in counts:
-        for k in range(0, c, WINDOW):
-            lengths.append(min(WINDOW, c - k))
-            at.append(total + k)
-        total += c
     scores = table[np.array(flat)]
     out = np.empty_like(scores)
-    lengths, at = np.array(lengths), np.array(at)
-    for k in range(0, len(lengths), 8192):
-        some, begin = lengths[k : k + 8192], at[k : k + 8192]
-        steps = int(some.max())
+    lengths = np.array(counts)
+    at = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    k = 0
+    while k < len(order):
+        # whole documents of similar lengths, longest first
+        steps = int(lengths[order[k]])
+        held = min(max(1, CELLS // steps), int((2 * lengths[order[k:]] >= steps).sum()))
+        some, begin = lengths[order[k : k + held]], at[order[k : k + held]]
         where = begin[None, :] + np.minimum(np.arange(steps)[:, None], some[None, :] - 1)
         post, _ = model.posteriors(scores[where], some)
         live = np.arange(steps)[:, None] < some[None, :]
         out[where[live]] = post[live]
+        k += held
     return np.split(out, np.cumsum(counts)[:-1]) if n else []
 
 

@@ -370,6 +370,26 @@ def test_language(spark, odd, empty):
     assert rows_of(langid.predict(table(spark, [(1, "² 3 ½ __ 7", "en", "s")]), model))[0]["lang_pred"] == "und"
 
 
+def test_a_long_document_is_one_chain():
+    rng = np.random.default_rng(2)
+    model = langid.Field(["a", "b", "c"], [set(), set(), set()])
+    model.weights += rng.normal(size=model.weights.shape).astype(np.float32) / 4
+    model.transitions += 2 * np.eye(3) + rng.normal(size=(3, 3)) / 2
+    model.starts += [2, -1, 0]
+    documents = [[f"w{rng.integers(50)}" for _ in range(n)] for n in (3 * langid.WINDOW + 1, 0, 5, 2 * langid.WINDOW)]
+    for words, got in zip(documents, langid.label(model, documents), strict=True):
+        psi, move = np.exp(model.emissions(words)), np.exp(model.transitions)
+        alpha, beta = [], [np.ones(3)]
+        for t in range(len(words)):
+            now = psi[t] * (np.exp(model.starts) if t == 0 else alpha[-1] @ move)
+            alpha.append(now / now.sum())
+        for t in range(len(words) - 1, 0, -1):
+            now = move @ (psi[t] * beta[0])
+            beta.insert(0, now / now.sum())
+        want = [a * b / (a @ b) for a, b in zip(alpha, beta, strict=False)]
+        assert len(got) == len(words) and np.allclose(got, np.array(want).reshape(-1, 3))
+
+
 def test_forward_backward_against_all_paths():
     import itertools
 
