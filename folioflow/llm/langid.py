@@ -5,7 +5,8 @@ are its affixes), the word itself, and whether it is in the lexicon of a languag
 between the languages of neighbouring words are learned with them, from sentences that switch language. Forward-backward gives each word's
 distribution; a document's language has the largest mean over its words, and that mean is the score.
 
-Training takes about PER_LANGUAGE documents of each language (those of small hash) and TRAIN_WORDS words of each, on the driver. Prediction
+Training takes about PER_LANGUAGE documents of each language (those of small hash) and TRAIN_WORDS words of each,
+drawn over its whole text, on the driver. Prediction
 covers all words of all documents, each of which is one chain; the chains of training are WINDOW words long.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without training documents every one is; a null doc_id is not held
@@ -172,6 +173,14 @@ def learned_part(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4
 
 
+def drawn_words(words: list[str]) -> list[str]:
+    """TRAIN_WORDS words of a text, in order, from anywhere in it: those of least hash of their place."""
+    if len(words) <= TRAIN_WORDS:
+        return words
+    order = mixed(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(words)))
+    return [words[k] for k in np.sort(np.argsort(order, kind="stable")[:TRAIN_WORDS])]
+
+
 def train(docs: DataFrame) -> Field | None:
     from_ = docs.where(F.col("lang").isNotNull() & (learned_part(F.col("doc_id")) != 2)).select("doc_id", "lang", "text")
     share = from_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("l"), (F.lit(float(PER_LANGUAGE)) / F.col("n")).alias("share"))
@@ -182,9 +191,7 @@ def train(docs: DataFrame) -> Field | None:
     def f(part: pa.RecordBatch) -> dict:
         out = []
         for text in column(part, "text"):
-            words = words_of(text)
-            at = max(0, len(words) - TRAIN_WORDS) // 2
-            out.append(words[at : at + TRAIN_WORDS])
+            out.append(drawn_words(words_of(text)))
         return {"words": out}
 
     rows = arrow_map(some.select("doc_id", "lang", "text"), f, "doc_id long, lang string, words array<string>", ["doc_id", "lang"]).collect()

@@ -370,6 +370,12 @@ def test_language(spark, odd, empty):
     assert rows_of(langid.predict(table(spark, [(1, "² 3 ½ __ 7", "en", "s")]), model))[0]["lang_pred"] == "und"
 
 
+def test_training_words_come_from_whole_texts():
+    places = [int(w) for w in langid.drawn_words([str(k) for k in range(3000)])]
+    assert len(places) == langid.TRAIN_WORDS and places == sorted(places) and all(any(k <= p < k + 500 for p in places) for k in range(0, 3000, 500))
+    assert langid.drawn_words(["a"] * 3) == ["a"] * 3
+
+
 def test_a_long_document_is_one_chain():
     rng = np.random.default_rng(2)
     model = langid.Field(["a", "b", "c"], [set(), set(), set()])
