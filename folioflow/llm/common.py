@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,44 +17,96 @@ from pyspark.sql.types import _parse_datatype_string
 
 #: The white space that separates words: space and the code points 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: A side is broadcast only if it was counted and has at most so many narrow rows; beyond it a shuffled join runs.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it was counted and has at most so many bytes, 8 for each value; beyond it a shuffled join runs.
+BROADCAST_BYTES = 16_000_000
+#: Option of cut() for a column keys of random numbers, in which a dictionary finds nothing.
+RANDOM_KEYS = {"parquet.enable.dictionary#keys.list.element": "false"}
+#: How cut() runs its query: shuffle files go when it ends, rather than when the driver's collector finds their handles unused, and the batches
+#: that go to Python and back are small, as they are held outside the heap, several times over.
+_RUN = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application in spark.checkpoint.dir; in a temporary one only where none is set (tests, one machine)."""
+    """A folder of this application in spark.checkpoint.dir; in a temporary one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(where)
     folder = f"{sc.getCheckpointDir()}/tables"
-    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files, path = _files(spark, folder)
+    files.deleteOnExit(path)
     return folder
 
 
-#: After so many tables the driver collects its garbage.
-COLLECT = 6
-_CUTS = itertools.count(1)
+def _files(spark: SparkSession, at: str):
+    """The file system of a path, and the path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once: a Parquet table in the shared folder, which goes when the application ends.
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """The rows, computed once: a Parquet table in the shared folder, which goes with forget() or when the application ends. options: the writer's.
 
     A table rather than checkpoint(): it is compressed, read by column, and carries no constraints of the plan that made it, which double
     with each round of an iteration.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if next(_CUTS) % COLLECT == 0:
-        # Spark drops the shuffle files and broadcasts of past rounds only when the driver's collector finds their handles unused
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def lookup(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if its counted rows are few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    before = {k: spark.conf.get(k, None) for k in _RUN}
+    for k, v in _RUN.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more."""
+    for df in tables:
+        files, path = _files(df.sparkSession, df.cut_at)
+        files.delete(path, True)
+
+
+def lookup(df: DataFrame, rows: int, cells: int = 0) -> DataFrame:
+    """df, marked for broadcast if its counted rows, of numbers, and the cells in their arrays are few."""
+    return F.broadcast(df) if 8 * (rows * len(df.columns) + cells) <= BROADCAST_BYTES else df
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to differ from all that are taken."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def of_groups(rows: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """rows joined with groups: key, size (its number of rows) and what the rows get.
+
+    No group meets in one task beyond its share: if the groups are too many to broadcast, those with over a hundred-thousandth of all rows
+    (at most 100,000) are broadcast, and the others are shuffled.
+    """
+    n, total = groups.agg(F.count(F.lit(1)), F.sum("size")).first()
+    if 8 * n * len(groups.columns) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups.drop("size")), key)
+    large, rest = groups.where(F.col("size") > total // 100_000).drop("size"), groups.where(F.col("size") <= total // 100_000).drop("size")
+    return rows.join(F.broadcast(large), key).unionByName(rows.join(F.broadcast(large.select(key)), key, "left_anti").join(rest, key))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -81,12 +133,12 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, c
 
 def slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most so many rows or bytes of text (one row at least)."""
-    name = next((x.name for x in batch.schema if pa.types.is_string(x.type) or pa.types.is_large_string(x.type)), None)
-    if name is None:
+    texts = [x for x in batch.columns if pa.types.is_string(x.type) or pa.types.is_large_string(x.type)]
+    if not texts:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
         return
-    lengths = [len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(batch.schema.names.index(name))] if batch.num_rows else []
+    lengths = sum(np.nan_to_num(pc.binary_length(x).to_numpy(zero_copy_only=False).astype(float)) for x in texts).tolist()
     start = held = 0
     for k, n in enumerate(lengths):
         if k > start and (held + n > size or k - start >= rows):
@@ -139,6 +191,14 @@ def seeded(seed: int, n: int) -> np.ndarray:
 _GRAM = seeded(11, 64) | np.uint64(1)
 
 
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted distinct codes; codes is sorted in place. np.unique takes twice the time for small sets."""
+    codes.sort()
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    return codes[new]
+
+
 def shingle_codes(words: list[bytes], width: int) -> np.ndarray:
     """Sorted distinct 64-bit codes of the shingles of so many words; of fewer words, the whole sequence is the only one."""
     if not words:
@@ -150,4 +210,4 @@ def shingle_codes(words: list[bytes], width: int) -> np.ndarray:
         total = np.full(n, w, np.uint64)
         for k in range(w):
             total += codes[k : k + n] * _GRAM[k]
-    return np.unique(mixed(total))
+    return distinct(mixed(total))

@@ -1,14 +1,17 @@
-"""Links and connected components of sets, without all pairs of a group and without collecting links.
-
-`linked_components` takes candidate keys for each set: sets that share no key are never linked, so a caller's keys decide the recall. In
-each group of equal key the most central set is compared with the others (a group of two is a pair); what stays outside its component gets a
-centre of its own. Then every pair from different components of a group is compared, once, unless the masks of both against
-the centre rule a link out. Groups that have become one component drop out early, which is what keeps groups of thousands of near copies
-linear.
+"""Links and connected components of sets, without collecting links.
+
+`linked_components` takes candidate keys for each set: sets that share no key are never compared, so a caller's keys decide the recall. Groups
+of equal key with two or three members are pairs at once. In a larger group the set with the most neighbours is the centre; every other whose
+bits leave a link possible is compared with it on the whole sets. Members that are linked with the centre are one component and need no
+comparison with each other. The others (outsiders) are compared with the members outside their own component, in blocks of bounded size: by
+what both lack and have besides against the centre, a bound of their intersection that few pairs without a link pass, or by their bits if they
+are far from the centre. What is left is compared on the whole sets. Work grows with the rows of a group, and with its outsiders times its
+members; no step puts a group in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,163 +20,211 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import arrow_map, column, cut, lookup
+from folioflow.llm.common import arrow_map, column, cut, forget, lookup, mixed
 
-#: 64-bit words of a document's sketch: one bit of each of 1024 minima.
-SKETCH_WORDS = 16
-CENTRES = 2
-#: Words of a mask that are columns of their own.
-MASK_WORDS = 8
+#: 64-bit words in the bitmap of what a set lacks, and in that of what it has besides.
+WORDS = 8
+#: Rows of one centre that are joined with its text in one task at most, about.
+RUN = 2000
+#: Outsiders of one centre in a block.
+BLOCK = 512
+#: A pair at the threshold is left out for its bits with this probability at most.
+RISK = 1e-6
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b): distributed union-find by contraction. root is the least node of a component.
+    """(node, root) for the nodes of edges (a, b): distributed union-find by contraction. root is one node of the component.
 
-    Each round every node points to the least of itself and its neighbours; edges between different targets remain. A round leaves at most
-    half of the nodes that have edges, and all state is cut, so a lost executor costs one round.
+    Each round every node points to the one of least hash of itself and its neighbours, takes over what that one points to, and edges between
+    different targets remain. As hashes have no part in how nodes are linked, chains get shorter by a constant factor a round (1,000 nodes in
+    order of ids: about 8 rounds), and a star takes one or two. All state is cut, so a lost executor costs one round.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    roots = None
+    ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    steps = []
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        points = cut(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")))
-        if roots is None:
-            roots = points
-        else:
-            p = points.select(F.col("node").alias("at"), F.col("root").alias("to"))
-            roots = cut(roots.join(p, roots["root"] == p["at"], "left").select("node", F.coalesce("to", "root").alias("root")))
-        pa, pb = points.toDF("a", "ra"), points.toDF("b", "rb")
-        edges = cut(edges.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    if roots is None:
+        best = both.groupBy("node").agg(F.min(ranked("other")).alias("best"))
+        points = cut(best.select("node", F.least("best", ranked("node"))["id"].alias("root")))
+        steps.append(points)
+        ra, rb = _jump(points).toDF("a", "ra"), _jump(points).toDF("b", "rb")
+        rest = edges.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        edges, old = cut(rest), edges
+        forget(old)
+    if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    forget(edges)
+    roots = _jump(steps[0])
+    for points in steps[1:]:
+        roots = roots.join(_jump(points).toDF("at", "to"), F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    roots = cut(roots)
+    forget(*steps)
     return roots
 
 
-def distance(a: str, b: str, words: int) -> Column:
-    """Differing bits of two sketches."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(words)])
-
-
-def share_of_sets(both: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets, in columns one and two as members, are similar enough."""
-    num, den = similarity
-    one, two = F.col("one.members"), F.col("two.members")
-    common = F.size(F.array_intersect(one, two)).cast("long")
-    return both.where(common * den >= (F.size(one).cast("long") + F.size(two).cast("long") - common) * num).select("a", "b")
+def _jump(points: DataFrame) -> DataFrame:
+    """Each node with the root of its root."""
+    return points.join(points.toDF("at", "to"), F.col("root") == F.col("at")).select("node", F.col("to").alias("root"))
 
 
-def most_bits(similarity: float, n: int = 64 * SKETCH_WORDS) -> int:
-    """Of n bits a pair of this similarity differs in more than this with a probability of about 1e-6: mean plus 4.8 standard deviations."""
-    p = (1 - similarity) / 2
-    return int(n * p + 4.8 * (n * p * (1 - p)) ** 0.5) + 1
+def most_bits(similarity: float, n: int) -> int:
+    """Of n bits, one of each of n minima, a pair of this similarity differs in more than this with a probability of at most RISK."""
+    p, above, k = (1 - similarity) / 2, 1.0, -1
+    while above > RISK:
+        k += 1
+        above -= math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    return k
 
 
-def linked_components(
-    nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity: tuple[int, int], bits: int, words: int = SKETCH_WORDS, confirm: Callable[[DataFrame, tuple[int, int]], DataFrame] = share_of_sets,
-    relate: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the nodes that have links, and the confirmed links (a, b) that prove it.
+def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], similarity: tuple[int, int], bits: int, codes_of: Callable[[str], np.ndarray]) -> DataFrame:
+    """(node, root) of the nodes that have links.
 
     nodes: node long, keys array<long>, b0 and b1 long: one bit of each of `bits` minima; a node may stand there more than once. fetch(table with
-    column node) gives node, n (size of its set), s0, s1 ... (a sketch of so many words) and what confirm needs, at least once for each node.
-    confirm gets pairs a, b with these rows as structs one and two; so does relate, which gives a, b, mask (array<long>, the members of two that
-    one has) and rest (how many others one has). similarity: numerator and denominator; a link has intersection * den >=
-    num * union on the whole sets.
+    column node) gives node and text, once for each node, from a table of cut() or a plan over one; codes_of(text) are the sorted distinct codes of its set. similarity: numerator and
+    denominator; a link has intersection * den >= num * union on the whole sets.
     """
-    num, den = similarity
-    relate = relate or masks_of_sets
-    postings = nodes.select("node", F.explode("keys").alias("k"))
-    groups = cut(postings.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b"))
-    # a group of two is a pair; most are of unlike sets and end here
-    known_bits = nodes.groupBy("node").agg(F.first("b0").alias("b0"), F.first("b1").alias("b1"))
-    bit = lambda x: known_bits.select(F.col("node").alias(x), F.col("b0").alias(f"{x}0"), F.col("b1").alias(f"{x}1"))
-    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    two = groups.where("c = 2").select("a", "b").distinct().join(bit("a"), "a").join(bit("b"), "b")
-    two = cut(two.where(differ <= most_bits(num / den, bits)).select("a", "b"))
-    more = groups.where("c > 2")
+    far = most_bits(similarity[0] / similarity[1], bits)
+    postings = nodes.select("node", "b0", "b1", F.explode("keys").alias("k"))
+    groups = cut(postings.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")).where("lo <> hi"))
+    stars = _stars(groups, postings, far)
+    few = _small_pairs(groups, nodes).where(_differ() <= far)
+    both = cut(stars.where("near").select("a", "b", "c").union(few.select("a", "b", F.lit(0).cast("long"))))
+    sets = fetch(_nodes_of(both))
+    tested = cut(_tested(both, sets, similarity, codes_of))
+    forget(groups, both)
+    roots = components(tested.where("linked").select("a", "b"))
+    hidden = {f"{x}_hidden": F.col(count) - _ones(*[F.col(f"{x}{k}") for k in range(WORDS)]) for x, count in (("l", "lacks"), ("e", "besides"))}
+    close = _outsider_pairs(tested.where("c > 0").withColumns(hidden | {"out": ~F.col("linked")}).drop("c", "linked"), roots, _bounded(similarity))
+    apart = _outsider_pairs(stars.select("a", "b", "c0", "c1", (~F.col("near")).alias("out")), roots, _differ("x.c0", "x.c1", "y.c0", "y.c1") <= far)
+    pairs = cut(close.union(apart).distinct())
+    forget(stars, tested)
+    wanted = cut(_nodes_of(pairs))
+    texts = sets.join(lookup(wanted, wanted.count()), "node", "left_semi").unionByName(fetch(wanted.join(sets, "node", "left_anti")))
+    found = cut(_tested(pairs.select("a", "b", F.lit(0).cast("long").alias("c")), texts, similarity, codes_of).where("linked").select("a", "b"))
+    forget(pairs, wanted)
+    if found.isEmpty():
+        return roots
+    # the new links between components; nodes without one are their own
+    named = lambda x: roots.select(F.col("node").alias(f"{x}n"), F.col("root").alias(f"{x}r"))
+    between = found.join(named("a"), F.col("a") == F.col("an"), "left").join(named("b"), F.col("b") == F.col("bn"), "left")
+    over = components(between.select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b"))).toDF("at", "to")
+    known = roots.union(over.join(roots, F.col("at") == F.col("node"), "left_anti").select("at", "at"))
+    return cut(known.join(over, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _differ(a0: str = "a0", a1: str = "a1", c0: str = "c0", c1: str = "c1") -> Column:
+    """How many bits of two sets differ."""
+    return F.bit_count(F.col(a0).bitwiseXOR(F.col(c0))) + F.bit_count(F.col(a1).bitwiseXOR(F.col(c1)))
+
+
+def _small_pairs(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of groups of two and three, with the bits of both (a0, a1, c0, c1)."""
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    middle = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
+    made = F.when(F.col("c") == 2, F.array(pair("lo", "hi"))).otherwise(F.array(pair("lo", "hi"), pair("lo", middle), pair(middle, "hi")))
+    pairs = cut(groups.where("c <= 3").select(F.explode(made).alias("p")).select("p.a", "p.b").where("a <> b").distinct())
+    members = cut(_nodes_of(pairs))
+    known = cut(nodes.join(lookup(members, members.count()), "node", "left_semi").groupBy("node").agg(F.first("b0").alias("b0"), F.first("b1").alias("b1")))
+    return pairs.join(known.toDF("a", "a0", "a1"), "a").join(known.toDF("b", "c0", "c1"), "b")
+
+
+def _stars(groups: DataFrame, postings: DataFrame, far: int) -> DataFrame:
+    """(a, b, c, c0, c1, near): the centre of a group of more than three, a member, the size of the group, the member's bits, and whether they
+    differ from the centre's in few enough; cut. The centre is the member of the most neighbours in all groups, so that groups of the same
+    copies have the same centre."""
+    more = groups.where("c > 3").select(F.expr("k + 0").alias("g"), "c")
     # another name for the key, so that Spark deals the groups out again and can split the postings of a large group
-    shared = cut(postings.join(lookup(more.select(F.expr("k + 0").alias("g"), "c"), more.count()), F.col("k") == F.col("g")).select("k", "node", "c"))
-    weighed = shared.select("node", "c").union(two.select("a", F.lit(0).cast("long"))).union(two.select("b", F.lit(0).cast("long")))
-    known = cut(weighed.groupBy("node").agg(F.sum("c").alias("w")))
-    count = known.count()
-    sets = cut(fetch(lookup(known.select("node"), count)))
-    if sets.count() != count:  # rows repeated in full give a node's row again
-        sets = cut(sets.dropDuplicates(["node"]))
-    sketch = F.struct(*[F.col(f"s{k}") for k in range(words)]).alias("s")
-    facts = cut(known.join(sets.select("node", "n", sketch), "node").select("node", "n", "w", "s"))
-    far = most_bits(num / den, 64 * words)
-    payload = sets.drop("n", *[f"s{k}" for k in range(words)])
-    near = lambda a, b: (F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num) & (distance(f"{a}.s", f"{b}.s", words) <= far)
-    links = cut(_confirmed(two, facts, payload, near, similarity, confirm))
-    used = None
-    for _ in range(CENTRES):
-        roots = components(links)
-        rooted = cut(_open(shared, roots))
-        left = rooted
-        if used is not None:
-            # the components of earlier centres have had theirs; what they may still be linked with comes with the rest
-            at = used.join(roots.select(F.col("node").alias("of"), "root"), F.col("centre") == F.col("of"), "left").select(F.col("g").alias("u_k"), F.coalesce("root", "centre").alias("u_root"))
-            left = rooted.join(at, (F.col("k") == F.col("u_k")) & (F.col("root") == F.col("u_root")), "left_anti")
-        weighty = left.join(facts.select(F.col("node").alias("f"), "w"), F.col("node") == F.col("f")).select("k", "node", "root", "w")
-        centre = weighty.groupBy("k").agg(F.max(F.struct("w", F.negative("node").alias("m"), "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        centre = cut(centre.select(F.expr("k + 0").alias("g"), F.negative(F.col("top.m")).alias("centre"), F.col("top.root").alias("centre_root")))
-        used = centre.select("g", "centre") if used is None else used.union(centre.select("g", "centre"))
-        pairs = left.join(centre, F.col("k") == F.col("g")).where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        links = cut(links.union(_confirmed(pairs, facts, payload, near, similarity, confirm)))
-    rooted = cut(_open(shared, components(links)))
-    # what each set shares with the centre of its group, as a mask, and how much it has besides: two sets have no more in common than both
-    # masks and the lesser rest, so pairs of copies that were changed in different places needn't be made
-    centres = rooted.join(facts.select(F.col("node").alias("f"), "w"), F.col("node") == F.col("f")).groupBy("k").agg(F.max(F.struct("w", F.negative("node").alias("m"))).alias("top"))
-    rooted = cut(rooted.join(centres.select(F.expr("k + 0").alias("g"), F.negative(F.col("top.m")).alias("centre")), F.col("k") == F.col("g")).select("k", "node", "root", "centre"))
-    masks = relate(_looked_up(rooted.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), payload)).withColumnsRenamed({"a": "m_node", "b": "m_centre"})
-    own = nodes.join(rooted.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("h"), "keys").dropDuplicates(["h"])
-    rooted = rooted.join(facts.withColumnRenamed("node", "f"), F.col("node") == F.col("f")).join(own, F.col("node") == F.col("h")).join(masks, (F.col("node") == F.col("m_node")) & (F.col("centre") == F.col("m_centre")))
-    rooted = cut(rooted.select("k", "node", "root", "n", "s", F.struct(*[F.coalesce(F.get("mask", F.lit(k)), F.lit(0).cast("long")).alias(f"m{k}") for k in range(MASK_WORDS)]).alias("m"), F.slice("mask", MASK_WORDS + 1, F.size("mask")).alias("mask"), "rest", F.transform("keys", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"), F.array_position("keys", F.col("k")).cast("int").alias("at")))
-    x, y = rooted.alias("x"), rooted.alias("y")
-    # a pair with several keys in common is made at the first of them alone
-    first = ~F.exists(F.zip_with(F.slice("x.keys", F.lit(1), F.col("x.at") - 1), F.slice("y.keys", F.lit(1), F.col("y.at") - 1), lambda p, q: p == q), lambda z: z)
-    # most masks are short; what goes beyond the first words is counted only where there is any
-    further = F.aggregate(F.zip_with("x.mask", "y.mask", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda t, c: t + c)
-    shared_bits = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.m.m{k}").bitwiseAND(F.col(f"y.m.m{k}"))) for k in range(MASK_WORDS)]) + F.when(F.size("x.mask") > 0, further).otherwise(F.lit(0))
-    enough = lambda common: common * den >= (F.col("x.n") + F.col("y.n") - common) * num
-    rests = F.least("x.rest", "y.rest")
-    able = enough(F.least(F.col("x.n") - F.col("x.rest"), F.col("y.n") - F.col("y.rest")) + rests) & enough(shared_bits.cast("long") + rests)
-    rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near("x", "y") & able & first)
-    pairs = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = cut(links.union(_confirmed(pairs, facts, payload, near, similarity, confirm)))
-    return components(links), links
-
-
-def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The postings of groups with more than one component, with the component of each."""
-    rooted = shared.join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select("k", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.expr("k + 0").alias("g"))
-    return rooted.join(several, F.col("k") == F.col("g")).select("k", "node", "root")
-
-
-def _confirmed(pairs: DataFrame, facts: DataFrame, payload: DataFrame, near, similarity: tuple[int, int], confirm) -> DataFrame:
-    """The pairs whose whole sets are similar enough; pairs of far sketches or unlike sizes can't be and are not looked up."""
-    u, v = facts.alias("u"), facts.alias("v")
-    close = pairs.join(u, F.col("a") == F.col("u.node")).join(v, F.col("b") == F.col("v.node")).where(near("u", "v")).select("a", "b")
-    return confirm(_looked_up(close, payload), similarity)
-
-
-def _looked_up(pairs: DataFrame, payload: DataFrame) -> DataFrame:
-    whole = lambda x, name: payload.select(F.col("node").alias(x), F.struct(*payload.columns).alias(name))
-    both = pairs.join(whole("p", "one"), F.col("a") == F.col("p")).join(whole("q", "two"), F.col("b") == F.col("q"))
-    return both.select("a", "b", "one", "two")
-
-
-def mask_of(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, int]:
-    """The members of two (in their order) that one has, as bits of signed longs, and how many others one has."""
-    bits = np.zeros(-(-len(two) // 64) * 64, np.uint8)
-    bits[: len(two)] = np.isin(two, one)
-    return np.packbits(bits).view(np.int64), len(one) - int(bits.sum())
-
-
-def masks_of_sets(both: DataFrame) -> DataFrame:
+    shared = cut(postings.join(lookup(more, more.count()), F.col("k") == F.col("g")).select("k", "node", "c", "b0", "b1"))
+    facts = cut(shared.groupBy("node").agg(F.sum("c").alias("w"), F.first("b0").alias("b0"), F.first("b1").alias("b1")))
+    weighed = shared.join(facts.select(F.col("node").alias("f"), "w"), F.col("node") == F.col("f"))
+    centres = cut(weighed.groupBy("k").agg(F.max_by("node", "w").alias("a")).select(F.expr("k + 0").alias("g"), "a"))
+    stars = shared.join(lookup(centres, centres.count()), F.col("k") == F.col("g")).where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.max("c").alias("c"), F.first("b0").alias("c0"), F.first("b1").alias("c1"))
+    out = cut(stars.join(facts.select(F.col("node").alias("f"), F.col("b0").alias("a0"), F.col("b1").alias("a1")), F.col("a") == F.col("f")).select("a", "b", "c", "c0", "c1", (_differ() <= far).alias("near")))
+    forget(shared, facts, centres)
+    return out
+
+
+def _bitmaps(parts: list[np.ndarray], rows: list[int], n: int) -> np.ndarray:
+    """For each of n rows a bitmap of the codes in the parts that belong to it, in WORDS signed longs."""
+    bits = np.zeros((n, 64 * WORDS), np.uint8)
+    if parts:
+        places = mixed(np.concatenate(parts)) % np.uint64(64 * WORDS)
+        bits[np.repeat(rows, [len(x) for x in parts]), places] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _tested(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], codes_of: Callable[[str], np.ndarray]) -> DataFrame:
+    """For each pair (a, b, c): whether it is linked, by the whole sets. If c > 0, also the sizes of both, how many members of a b lacks and how
+    many it has besides, and bitmaps of both. c is about the number of rows that a stands in: its text is dealt out with salt."""
+    num, den = similarity
+    salts = F.greatest(F.lit(1), F.ceil(F.col("c") / RUN)).cast("int")
+    salted = pairs.withColumn("s", F.pmod(F.xxhash64("b"), salts).cast("int"))
+    heads = pairs.groupBy(F.col("a").alias("h")).agg(F.max(salts).alias("m")).join(sets, F.col("h") == F.col("node")).select("h", F.col("text").alias("one"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("t"))
+    tails = sets.select(F.col("node").alias("n"), F.col("text").alias("two"))
+    whole = salted.join(heads, (F.col("a") == F.col("h")) & (F.col("s") == F.col("t"))).join(tails, F.col("b") == F.col("n")).select("a", "b", "c", "one", "two")
+
     def f(part: pa.RecordBatch) -> dict:
-        pairs = [mask_of(np.array(x), np.array(y)) for x, y in zip(column(part, "one"), column(part, "two"), strict=True)]
-        return {"mask": [m for m, _ in pairs], "rest": [r for _, r in pairs]}
+        sizes = np.empty((part.num_rows, 3), np.int64)
+        heads: dict[int, np.ndarray] = {}
+        lacks, besides, rows = [], [], []
+        for k, (a, c, one, two) in enumerate(zip(column(part, "a"), column(part, "c"), column(part, "one"), column(part, "two"), strict=True)):
+            x = heads.get(a)
+            if x is None:
+                x = heads[a] = codes_of(one)
+            y = codes_of(two)
+            at = np.searchsorted(x, y)
+            at[at == len(x)] = 0
+            hit = x[at] == y
+            sizes[k] = len(x), len(y), np.count_nonzero(hit)
+            if c:
+                left = np.ones(len(x), bool)
+                left[at[hit]] = False
+                lacks.append(x[left])
+                besides.append(y[~hit])
+                rows.append(k)
+        n, m, common = sizes.T
+        out = {"linked": common * den >= (n + m - common) * num, "an": n, "bn": m, "lacks": n - common, "besides": m - common}
+        for x, parts in (("l", lacks), ("e", besides)):
+            words = _bitmaps(parts, rows, part.num_rows)
+            out |= {f"{x}{k}": words[:, k] for k in range(WORDS)}
+        return out
+
+    schema = "a long, b long, c long, linked boolean, an int, bn int, lacks int, besides int, " + ", ".join(f"{x}{k} long" for x in "le" for k in range(WORDS))
+    return arrow_map(whole, f, schema, ["a", "b", "c"])
+
+
+def _ones(*words: Column) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(w) for w in words])
+
+
+def _bounded(similarity: tuple[int, int]) -> Column:
+    """Whether two rows x and y of _tested with the same a can have linked b."""
+    num, den = similarity
 
-    return arrow_map(both.select("a", "b", F.col("one.members").alias("one"), F.col("two.members").alias("two")), f, "a long, b long, mask array<long>, rest long", ["a", "b"])
+    def at_most(bits: str, count: str) -> Column:
+        one, two = ([F.col(f"{side}.{bits}{k}") for k in range(WORDS)] for side in "xy")
+        # members that a bitmap doesn't tell apart may be common ones
+        hidden = F.least(f"x.{bits}_hidden", f"y.{bits}_hidden")
+        return F.least(_ones(*[p.bitwiseAND(q) for p, q in zip(one, two, strict=True)]) + hidden, f"x.{count}", f"y.{count}")
+
+    # both have what the centre has and neither lacks, and what both have besides
+    common = F.col("x.an") - F.col("x.lacks") - F.col("y.lacks") + at_most("l", "lacks") + at_most("e", "besides")
+    # common * den >= (both sizes - common) * num, with common written once: the JVM compiles no method of over 8,000 bytes
+    return common.cast("long") * (den + num) >= (F.col("x.bn") + F.col("y.bn")).cast("long") * num
+
+
+def _outsider_pairs(rows: DataFrame, roots: DataFrame, able: Column) -> DataFrame:
+    """Of rows (a, b, out and more) the pairs (a, b) of an outsider and another member of a group a that are in different components and `able`."""
+    rooted = cut(rows.join(roots.select(F.col("node").alias("of"), "root"), F.col("b") == F.col("of"), "left").withColumn("root", F.coalesce("root", "b")).drop("of"))
+    state = rooted.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if("out").alias("outs"))
+    state = cut(state.where("lo <> hi and outs > 0").select(F.col("a").alias("g"), F.ceil(F.col("outs") / BLOCK).cast("int").alias("blocks")))
+    rooted = rooted.join(lookup(state, state.count()), F.col("a") == F.col("g")).drop("g")
+    x = rooted.where("out").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).alias("x")
+    y = rooted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    once = ~F.col("y.out") | (F.col("x.b") < F.col("y.b"))
+    pairs = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & once & able)
+    return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))

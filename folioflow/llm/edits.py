@@ -4,10 +4,12 @@ A shared random walk reads a text: at output place j, standing on character c, i
 walk of an edited text falls back in step with that of the original soon after each edit, so few edits make few differing places. The
 fingerprint samples 256 output places and keeps 4 bits of a hash of the character there. The places come from record times, so texts of
 unlike lengths sample the same places as often as their lengths allow; the share of equal samples, less chance, estimates the likeness of the
-two embeddings. `edit_components` bands sampled bits of fingerprints for candidates and confirms them on the whole fingerprints.
+two embeddings. `classes` bands sampled bits of fingerprints for candidates and confirms them on the whole fingerprints: documents that reach each
+other by links of a likeness of at least ALIKE are a class. A pair at that likeness shares a band with probability 0.999. The walk's random bits
+repeat after PERIOD output places, which bounds their table; two texts meet the same bits in any case, as both walks read the same table.
 
 Defined cases: a null text counts as empty; an empty text has the fingerprint of 256 zeros, and likeness 1 to another empty one; documents
-follow each other by falling doc_id, null ones last, and of equal ids by text; after the last one comes the first; one document alone
+follow each other by falling doc_id, null ones last, and of equal ids by the hash of their text; after the last one comes the first; one document alone
 follows itself; repeated rows follow each other; further columns are left out; an empty table gives no row.
 """
 
@@ -23,15 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from folioflow.llm.common import arrow_map, column, cut, lookup, mixed, seeded, slices
-from folioflow.llm.components import SKETCH_WORDS, linked_components
-from folioflow.llm.neardup import sketch
+from folioflow.llm.common import arrow_map, column, cut, forget, lookup, mixed, of_groups, seeded, slices
+from folioflow.llm.components import linked_components
 
 SLOTS = 256
 CLASSES, PERIOD = 256, 4096
 #: With fewer texts left the walks go on one by one.
 FEW = 48
-BAND, BANDS = 12, 24
+#: Bits of a band's key, and bands.
+BAND, BANDS = 32, 32
+#: Least likeness of a link.
+ALIKE = 0.9
 
 
 def _stays() -> np.ndarray:
@@ -143,27 +147,28 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 def _in_order(docs: DataFrame) -> DataFrame:
     """The rows dealt out in ranges of falling doc_id and sorted, each range with the first row of the next one at its end (column peek)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ids = rows.select(F.col("doc_id").cast("double").alias("d")).where("d is not null")
     bounds = sorted(set(ids.approxQuantile("d", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
     dealt = rows.withColumn("__d", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))).withColumn("__b", F.lit(0.0))
     if bounds:
         ranges = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__d", outputCol="__b")
         dealt = ranges.transform(dealt.drop("__b"))
-    # ranges are numbered by falling id; the null ids have the last one
-    dealt = dealt.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - F.col("__b").cast("int")))
-    dealt = dealt.select("doc_id", "text", "range")
-    first = dealt.groupBy("range").agg(F.max("doc_id").alias("head"), F.min(F.when(F.col("doc_id").isNull(), F.col("text"))).alias("head_text"))
-    # a row for each range, as many as there are partitions
-    heads = sorted((r["range"], r["head"], r["head_text"]) for r in first.collect())
-    before = [(r, heads[k - 1][0], head, text) for k, (r, head, text) in enumerate(heads)]
-    table = docs.sparkSession.createDataFrame(before, "h_range int, previous int, head long, head_text string")
+    # ranges are numbered by falling id; the rows with null ids have the last n, by hash
+    part = F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * n / (1 << 32)).cast("int")
+    dealt = dealt.withColumn("range", F.when(F.col("doc_id").isNull(), len(bounds) + 1 + part).otherwise(F.lit(len(bounds)) - F.col("__b").cast("int")))
+    dealt = dealt.select("doc_id", "text", "h", "range")
+    first = dealt.groupBy("range").agg(F.max("doc_id").alias("head")).join(dealt.groupBy("range", "doc_id").agg(F.min("h").alias("head_h")).withColumnRenamed("range", "of"), (F.col("range") == F.col("of")) & F.col("head").eqNullSafe(F.col("doc_id")))
+    # a row of numbers for each range, as many as there are partitions, or twice that
+    heads = sorted((r["range"], r["head"], r["head_h"]) for r in first.select("range", "head", "head_h").collect())
+    before = [(r, heads[k - 1][0], head, h) for k, (r, head, h) in enumerate(heads)]
+    table = docs.sparkSession.createDataFrame(before, "h_range int, previous int, head long, head_h long")
     rows = dealt.join(F.broadcast(table), F.col("range") == F.col("h_range"))
-    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("doc_id").isNotNull() | (F.col("text") == F.col("head_text")))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h"))
     here = F.struct(F.col("range").alias("to"), F.lit(False).alias("peek"))
     there = F.struct(F.col("previous").alias("to"), F.lit(True).alias("peek"))
-    rows = rows.withColumn("go", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here)))).select("doc_id", "text", "go.to", "go.peek")
-    return rows.repartitionById(len(bounds) + 2, F.col("to")).sortWithinPartitions("peek", F.col("doc_id").desc_nulls_last(), "text")
+    rows = rows.withColumn("go", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here)))).select("doc_id", "text", "h", "go.to", "go.peek")
+    return rows.repartitionById(len(bounds) + 1 + n, F.col("to")).sortWithinPartitions("peek", F.col("doc_id").desc_nulls_last(), "h").drop("h")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -218,40 +223,49 @@ def _pairs(held: list, schema: pa.Schema):
 
 
 _BITS = (mixed(seeded(34, BAND * BANDS)) % np.uint64(4 * SLOTS)).astype(int).reshape(BANDS, BAND)
-_POWERS = 1 << np.arange(BAND, dtype=np.int64)
+_WEIGHTS = seeded(35, BAND)
 
 
-def edit_components(docs: DataFrame, alike: float = 0.9) -> DataFrame:
-    """doc_id, fingerprint and class (the least doc_id reached by links) of each row. A link joins fingerprints of at least this likeness;
-    candidates share BAND sampled bits in one of BANDS bands, and links are confirmed on all samples.
-    """
+def _bits_of(prints: list[str]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bytes.fromhex("".join(prints)), np.uint8)).reshape(len(prints), 4 * SLOTS)
 
-    def f(part: pa.RecordBatch) -> dict:
-        prints = fingerprints([t or "" for t in column(part, "text")])
-        return {"fingerprint": [as_text(p) for p in prints]}
 
-    rows = cut(arrow_map(docs.select("doc_id", "text"), f, "doc_id long, fingerprint string", ["doc_id"]))
-    classes = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+def band_keys(prints: list[str]) -> np.ndarray:
+    """For each fingerprint and band a hash of the sampled bits."""
+    sampled = _bits_of(prints)[:, _BITS].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mixed((sampled * _WEIGHTS).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    def samples(text: str) -> np.ndarray:
-        pairs = np.frombuffer(bytes.fromhex(text), np.uint8)
-        return np.stack([pairs >> 4, pairs & 15], axis=1).ravel()
+
+def _codes(text: str) -> np.ndarray:
+    """A fingerprint as a set: a code of each place and what stands there, in order."""
+    pairs = np.frombuffer(bytes.fromhex(text), np.uint8)
+    return _SLOT.astype(np.uint64) * np.uint64(16) + np.stack([pairs >> 4, pairs & 15], axis=1).ravel().astype(np.uint64)
+
+
+def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """rows (doc_id, fingerprint and more) with class_id, the least doc_id that links lead to: null if all have null ids."""
+    distinct = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
 
     def keys(part: pa.RecordBatch) -> dict:
-        bits = [np.unpackbits(np.frombuffer(bytes.fromhex(t), np.uint8)) for t in column(part, "fingerprint")]
-        some = [np.packbits(b[:: len(b) // 128][:128]).view(np.int64).tolist() for b in bits]
-        return {"keys": [b[_BITS].astype(np.int64) @ _POWERS + (np.arange(BANDS) << 32) for b in bits], "b0": [x[0] for x in some], "b1": [x[1] for x in some]}
-
-    def members(part: pa.RecordBatch) -> dict:
-        codes = [np.sort(mixed((_SLOT * 16 + samples(t)).astype(np.uint64) + np.uint64(1))) for t in column(part, "fingerprint")]
-        sketches = [sketch(c) for c in codes]
-        return {"n": [SLOTS] * len(codes), "members": [c.astype(np.int64) for c in codes]} | {f"s{k}": [int(x[k]) for x in sketches] for k in range(SKETCH_WORDS)}
-
-    schema = "node long, n int, members array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
-    fetch = lambda nodes: arrow_map(classes.join(nodes, "node").select("node", "fingerprint"), members, schema, ["node"])
-    share = alike * 15 / 16 + 1 / 16
-    jaccard = (round(share * SLOTS), 2 * SLOTS - round(share * SLOTS))
-    roots, _ = linked_components(arrow_map(classes.select("node", "fingerprint"), keys, "node long, keys array<long>, b0 long, b1 long", ["node"]), fetch, jaccard, 128)
-    rooted = classes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("fingerprint").alias("p"), "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("class_id")), F.col("root") == F.col("r")).select("p", "class_id")
-    return rows.join(lookup(named, named.count()), F.col("fingerprint") == F.col("p")).select("doc_id", "fingerprint", "class_id")
+        prints = column(part, "fingerprint")
+        some = np.packbits(_bits_of(prints)[:, :: SLOTS // 32], axis=1).view(np.int64).reshape(-1, 2)
+        return {"keys": list(band_keys(prints)), "b0": some[:, 0], "b1": some[:, 1]}
+
+    # 128 of the bits, one of every other sample: as many differ between two fingerprints as of single bits of minima
+    nodes = cut(arrow_map(distinct.select("node", "fingerprint"), keys, "node long, keys array<long>, b0 long, b1 long", ["node"]))
+    least = round((alike * 15 / 16 + 1 / 16) * SLOTS)
+    fetch = lambda some: distinct.join(some, "node").select("node", F.col("fingerprint").alias("text"))
+    roots = linked_components(nodes, fetch, (least, 2 * SLOTS - least), 128, _codes)
+    forget(nodes)
+    linked = cut(distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("fingerprint", "least", "root"))
+    ids = linked.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("class_id"))
+    named = of_groups(linked.select("fingerprint", "root"), "root", ids).select("fingerprint", "class_id")
+    alone = distinct.join(linked.select("fingerprint"), "fingerprint", "left_anti").select("fingerprint", "least")
+    named = cut(named.union(alone).withColumnRenamed("fingerprint", "p"))
+    return rows.join(lookup(named, named.count()), F.col("fingerprint") == F.col("p")).drop("p")
+
+
+def fingerprint_classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """The rows of fingerprint_documents, with class_id."""
+    return classes(cut(fingerprint_documents(docs)), alike)

@@ -18,17 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import arrow_map, column, cut, lookup, mixed, seeded
-from folioflow.llm.components import linked_components, mask_of
-from folioflow.llm.neardup import sketch
+from folioflow.llm.common import RANDOM_KEYS, arrow_map, column, cut, distinct, forget, fresh, lookup, mixed, of_groups, seeded
+from folioflow.llm.components import linked_components
 
 WIDTH, ROWS, BANDS = 5, 5, 16
+#: Codes of a line in a column of the table that minima are taken of.
+TALL = 16
 SIMILARITY = (80, 100)
 _MUL = seeded(61, WIDTH) | np.uint64(1)
 _A = (seeded(62, ROWS * BANDS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _TAGS = (np.arange(ROWS * BANDS, dtype=np.uint64) << np.uint64(32))[:, None]
-#: Words of a line's sketch.
-WORDS = 2
 
 
 def normal(line: str) -> str:
@@ -52,7 +51,7 @@ def _gram_codes(text: str) -> np.ndarray:
 
 def line_set(line: str) -> np.ndarray:
     """Sorted distinct codes of the shingles of a normal line."""
-    return np.unique(_gram_codes(line))
+    return distinct(_gram_codes(line))
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +61,7 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start = 0
     while start < len(lines):
         end, held = start, 0
-        while end < len(lines) and (end == start or held + len(lines[end]) <= 200_000):
+        while end < len(lines) and (end == start or held + len(lines[end]) <= 60_000):
             held += len(lines[end])
             end += 1
         some = lines[start:end]
@@ -74,13 +73,19 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(1, WIDTH):
             keep[ends - k] = False
         codes = mixed(codes[keep[: len(codes)]])
-        starts = np.concatenate([[0], np.cumsum(padded - WIDTH + 1)[:-1]])
         low = (codes >> np.uint64(32)).astype(np.uint32) ^ codes.astype(np.uint32)
-        least, product = np.empty((ROWS * BANDS, len(some)), np.uint64), np.empty_like(low)
+        # each line's codes fill whole columns of a table, its last one as often as it takes: minima go along the rows, then over few columns
+        counts = padded - WIDTH + 1
+        starts, tall = np.cumsum(counts) - counts, -(-counts // TALL)
+        firsts = np.cumsum(tall) - tall
+        of = np.repeat(np.arange(len(some)), tall)
+        place = (np.arange(len(of)) - firsts[of])[None, :] * TALL + np.arange(TALL)[:, None]
+        filled = low[starts[of] + np.minimum(place, counts[of] - 1)]
+        least, product = np.empty((ROWS * BANDS, len(some)), np.uint64), np.empty_like(filled)
         with np.errstate(over="ignore"):
             for r, a in enumerate(_A):
-                np.multiply(low, a, out=product)
-                least[r] = np.minimum.reduceat(product, starts)
+                np.multiply(filled, a, out=product)
+                least[r] = np.minimum.reduceat(product.min(axis=0), firsts)
             least = mixed(least + _TAGS)
             bits[start:end, : ROWS * BANDS] = (least & np.uint64(1)).T
             keys[start:end] = mixed(least.reshape(BANDS, ROWS, -1).sum(axis=1, dtype=np.uint64)).view(np.int64).T
@@ -118,93 +123,66 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         wide[first] = bits
         return {"node": nodes, "doc_id": ids, "th": ths, "line_no": nos, "keys": lists, "b0": wide[:, 0], "b1": wide[:, 1]}
 
-    return cut(arrow_map(_keyed(docs), f, "node long, doc_id long, th long, line_no int, keys array<long>, b0 long, b1 long", []))
+    return cut(arrow_map(_keyed(docs), f, "node long, doc_id long, th long, line_no int, keys array<long>, b0 long, b1 long", []), **RANDOM_KEYS)
 
 
 def _fetcher(docs: DataFrame, where: DataFrame):
     """Texts of lines, from one occurrence each."""
 
     def f(part: pa.RecordBatch) -> dict:
-        nodes, texts, sizes, sketches = [], [], [], []
+        nodes, texts = [], []
         for text, wanted in zip(column(part, "text"), column(part, "wanted"), strict=True):
             lines = text.split("\n")
             for w in wanted:
-                line = normal(lines[w["line_no"]])
-                codes = line_set(line)
                 nodes.append(w["node"])
-                texts.append(line)
-                sizes.append(len(codes))
-                sketches.append(sketch(mixed(codes), WORDS))
-        return {"node": nodes, "line": texts, "n": sizes} | {f"s{k}": [int(x[k]) for x in sketches] for k in range(WORDS)}
-
-    schema = "node long, line string, n int, " + ", ".join(f"s{k} long" for k in range(WORDS))
+                texts.append(normal(lines[w["line_no"]]))
+        return {"node": nodes, "line": texts}
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        at = where.join(nodes, "node").groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.th").alias("w_th")).agg(F.collect_list(F.struct("node", "at.line_no")).alias("wanted"))
+        at = nodes.join(where, "node").groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.th").alias("w_th")).agg(F.collect_list(F.struct("node", "at.line_no")).alias("wanted"))
         at = cut(at)
-        rows = _keyed(docs).join(lookup(at, at.count()), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-        return arrow_map(rows.select("text", "wanted"), f, schema, [])
+        n, cells = at.agg(F.count(F.lit(1)), F.sum(F.size("wanted"))).first()
+        # a row that is repeated in full gives its lines again
+        rows = _keyed(docs).join(lookup(at, n, 3 * (cells or 0)), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+        found = cut(arrow_map(rows.select("text", "wanted"), f, "node long, line string", []).select("node", F.col("line").alias("text")))
+        forget(at)
+        return found if found.count() == (cells or 0) else found.dropDuplicates(["node"])
 
     return fetch
 
 
-def _similar(both: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs whose lines have similar shingle sets."""
-    num, den = similarity
-
-    def f(part: pa.RecordBatch) -> dict:
-        a, b, keep, sets = column(part, "a"), column(part, "b"), [], {}
-        for x, y, s, t in zip(a, b, column(part, "s"), column(part, "t"), strict=True):
-            pair = []
-            for node, line in ((x, s), (y, t)):
-                if node not in sets:
-                    sets[node] = line_set(line)
-                pair.append(sets[node])
-            common = len(np.intersect1d(*pair, assume_unique=True))
-            keep.append(common * den >= (len(pair[0]) + len(pair[1]) - common) * num)
-        return {"a": [x for x, k in zip(a, keep, strict=True) if k], "b": [y for y, k in zip(b, keep, strict=True) if k]}
-
-    return arrow_map(both.select("a", "b", F.col("one.line").alias("s"), F.col("two.line").alias("t")), f, "a long, b long", [])
-
-
-def _masks(both: DataFrame) -> DataFrame:
-    def f(part: pa.RecordBatch) -> dict:
-        sets: dict[str, np.ndarray] = {}
-        pairs = [mask_of(line_set(x), sets[y] if y in sets else sets.setdefault(y, line_set(y))) for x, y in zip(column(part, "s"), column(part, "t"), strict=True)]
-        return {"mask": [m for m, _ in pairs], "rest": [r for _, r in pairs]}
-
-    return arrow_map(both.select("a", "b", F.col("one.line").alias("s"), F.col("two.line").alias("t")), f, "a long, b long, mask array<long>, rest long", ["a", "b"])
-
-
 def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The lines that have to go: doc_id, th (hash of the text) and the sorted numbers of its lines, one row for each such document."""
+    """The lines that have to go: doc_id, th (hash of the text) and the sorted numbers of its lines, one row for each such document; cut."""
     all_ = _occurrences(docs)
     nodes = all_.where("size(keys) > 0").select("node", "keys", "b0", "b1")
-    where = all_.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "line_no")).alias("at"))
-    where = cut(where)
-    roots, _ = linked_components(nodes, _fetcher(docs, where), similarity, ROWS * BANDS, WORDS, _similar, _masks)
-    rooted = where.join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left")
+    where = cut(all_.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "line_no")).alias("at")))
+    roots = linked_components(nodes, _fetcher(docs, where), similarity, ROWS * BANDS, line_set)
+    rooted = where.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    linked = cut(rooted.where("root is not null").select("node", "root", "at"))
+    firsts = linked.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("stays"))
     # a line without links that occurs once is nothing to look for
-    rooted = cut(rooted.where("root is not null or c > 1").select("node", "at", F.coalesce("root", "node").alias("root")))
-    firsts = rooted.groupBy("root").agg(F.min("at").alias("stays")).withColumnRenamed("root", "r")
-    known = cut(rooted.join(firsts, F.col("root") == F.col("r")).select(F.col("node").alias("d"), "stays"))
+    alone = rooted.where("root is null and c > 1").select("node", F.col("at").alias("stays"))
+    known = cut(of_groups(linked.select("node", "root"), "root", firsts).select("node", "stays").union(alone).withColumnRenamed("node", "d"))
     go = all_.select("node", "doc_id", "th", "line_no").join(lookup(known, known.count()), F.col("node") == F.col("d")).where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("stays")))
-    return go.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    out = cut(go.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines")))
+    forget(all_, where, linked, known)
+    return out
 
 
-def without_duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs with their remaining lines; lines_total and lines_gone are added under the names __lines and __gone."""
-    go = cut(duplicate_lines(docs, similarity))
-    go = lookup(go, go.count()).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__drop"))
-    joined = docs.withColumn("__key", F.xxhash64("text")).join(go, (F.col("__key") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    parts = F.split(F.col("text"), "\n", -1)
-    rest = F.array_join(F.filter(parts, lambda x, k: ~F.array_contains(F.col("__drop"), k)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(rest)
-    out = joined.withColumn("__lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).withColumn("__gone", F.coalesce(F.size("__drop"), F.lit(0))).withColumn("text", text)
-    return out.select(*docs.columns, "__lines", "__gone")
+def without_duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, total: str = "n_lines", gone: str = "n_removed") -> DataFrame:
+    """docs with their remaining lines, how many lines each had (one for an empty text, null for a null one) and how many it lost."""
+    go = duplicate_lines(docs, similarity)
+    n, cells = go.agg(F.count(F.lit(1)), F.sum(F.size("lines"))).first()
+    key, g_id, g_th, drop = fresh([*docs.columns, total, gone], "key", "g_id", "g_th", "drop")
+    go = lookup(go, n, cells or 0).toDF(g_id, g_th, drop)
+    joined = docs.withColumn(key, F.xxhash64("text")).join(go, (F.col(key) == F.col(g_th)) & F.col("doc_id").eqNullSafe(F.col(g_id)), "left")
+    rest = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, k: ~F.array_contains(F.col(drop), k)), "\n")
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(rest)
+    lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias(total)
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], lines, F.coalesce(F.size(drop), F.lit(0)).alias(gone))
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, the text left, and how many lines it had and lost."""
+    """doc_id, the text left, and how many lines it had (a null text: none) and lost."""
     out = without_duplicate_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.col("__lines")).alias("n_lines"), F.col("__gone").alias("n_removed"))
+    return out.select("doc_id", "text", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "n_removed")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.llm.common import WORD_PATTERN, cut
+from folioflow.llm.common import WORD_PATTERN, cut, fresh, lookup
 
 BITS = 12
 LEVELS = 2
@@ -49,22 +49,24 @@ def mix(rows: DataFrame, quota: DataFrame) -> DataFrame:
     wanted = quota.select(F.col("source").alias("q_source"), F.col("source_size"), F.col("target"), F.round("target").cast("long").alias("words"))
     wanted = wanted.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0).cast("long")))
     wanted = wanted.withColumn("left", F.col("words") - F.col("whole") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
-    # quota has a row for each source, far fewer than rows; the tables of thresholds that follow have no more
+    # a row for each source, and as many in the tables of thresholds that follow: counted, broadcast if few, shuffled otherwise
+    sources = quota.count()
+    few = lambda df: lookup(df, sources)
     hashed = rows.withColumn("prefix", F.lit(0).cast("long"))
     edge = wanted
     for level in range(1, LEVELS + 1):
         shift = 60 - BITS * level
-        inside = hashed.join(F.broadcast(edge.select("q_source", F.col("prefix").alias("q_prefix"), "left")), null_safe(F.col("source"), F.col("q_source")) & (F.shiftright("hash", shift + BITS) == F.col("q_prefix")))
-        edge = _edge(inside.withColumn("bucket", F.shiftright("hash", shift)), edge)
-    inside = hashed.join(F.broadcast(edge.select("q_source", F.col("prefix").alias("q_prefix"), "left")), null_safe(F.col("source"), F.col("q_source")) & (F.shiftright("hash", 60 - BITS * LEVELS) == F.col("q_prefix")))
-    edge = _edge(inside.withColumn("bucket", F.col("hash")), edge)
-    ties = rows.join(F.broadcast(edge.select("q_source", F.col("prefix").alias("q_prefix"))), null_safe(F.col("source"), F.col("q_source")) & (F.col("hash") == F.col("q_prefix"))).groupBy("q_source").agg(F.count(F.lit(1)).alias("ties"))
+        inside = hashed.join(few(edge.select("q_source", F.col("prefix").alias("q_prefix"), "left")), null_safe(F.col("source"), F.col("q_source")) & (F.shiftright("hash", shift + BITS) == F.col("q_prefix")))
+        edge = _edge(inside.withColumn("bucket", F.shiftright("hash", shift)), edge, few)
+    inside = hashed.join(few(edge.select("q_source", F.col("prefix").alias("q_prefix"), "left")), null_safe(F.col("source"), F.col("q_source")) & (F.shiftright("hash", 60 - BITS * LEVELS) == F.col("q_prefix")))
+    edge = _edge(inside.withColumn("bucket", F.col("hash")), edge, few)
+    ties = rows.join(few(edge.select("q_source", F.col("prefix").alias("q_prefix"))), null_safe(F.col("source"), F.col("q_source")) & (F.col("hash") == F.col("q_prefix"))).groupBy("q_source").agg(F.count(F.lit(1)).alias("ties"))
     edge = edge.join(ties.withColumnRenamed("q_source", "t_source"), null_safe(F.col("q_source"), F.col("t_source")), "left")
-    taken = rows.join(F.broadcast(edge.select("q_source", F.col("source_size"), "target", "whole", "left", F.col("prefix").alias("threshold"), "ties")), null_safe(F.col("source"), F.col("q_source")))
+    taken = rows.join(few(edge.select("q_source", F.col("source_size"), "target", "whole", "left", F.col("prefix").alias("threshold"), "ties")), null_safe(F.col("source"), F.col("q_source")))
     return taken.withColumn("share", F.when(F.col("hash") < F.col("threshold"), F.lit(2)).when(F.col("hash") == F.col("threshold"), F.lit(1)).otherwise(F.lit(0)))
 
 
-def _edge(inside: DataFrame, edge: DataFrame) -> DataFrame:
+def _edge(inside: DataFrame, edge: DataFrame, few) -> DataFrame:
     """For each source the bucket in which its budget ends, and what is left of the budget there."""
     sums = inside.groupBy("q_source", "bucket").agg(F.sum("size").alias("held"), F.first("left").alias("left"))
     upto = Window.partitionBy("q_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,14 +74,13 @@ def _edge(inside: DataFrame, edge: DataFrame) -> DataFrame:
     ends = sums.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("held")))
     ends = ends.select(F.col("q_source").alias("e_source"), F.col("bucket").alias("e_bucket"), (F.col("left") - F.col("before")).alias("e_left"))
     # a source whose budget is all it has ends nowhere: every hash is below its threshold
-    kept = edge.join(F.broadcast(ends), F.col("q_source").eqNullSafe(F.col("e_source")), "left")
+    kept = edge.join(few(ends), F.col("q_source").eqNullSafe(F.col("e_source")), "left")
     return kept.select("q_source", "source_size", "target", "whole", F.coalesce("e_bucket", F.lit(-1).cast("long")).alias("prefix"), F.coalesce("e_left", F.lit(0).cast("long")).alias("left"))
 
 
 def measured(docs: DataFrame, size: Column | None = None) -> DataFrame:
     """The narrow table of a mix, cut: doc_id, source, size and a 60-bit hash of the record's key and text."""
-    hash60 = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 4)
-    return cut(docs.select("doc_id", "source", (words_in(F.col("text")) if size is None else size).alias("size"), hash60.alias("hash")))
+    return cut(docs.select("doc_id", "source", (words_in(F.col("text")) if size is None else size).alias("size"), _hash(docs).alias("hash")))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
@@ -99,13 +100,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     """
     rows = measured(docs)
     quota = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
-    limits = cut(_limits(rows, quota))
-    hash60 = F.shiftrightunsigned(F.xxhash64(docs["doc_id"], docs["text"]), 4)
-    times = F.col("__whole") + F.when(hash60 < F.col("__threshold"), F.lit(1)).otherwise(F.lit(0))
-    joined = docs.join(F.broadcast(limits), docs["source"].eqNullSafe(F.col("__source")))
-    copies = joined.withColumn("__times", times).where(F.col("__times") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return copies.select(*[F.col(c) for c in docs.columns])
+    at, whole, threshold, hash60, copy = fresh(docs.columns, "at", "whole", "threshold", "hash", "copy")
+    limits = mix(rows, quota).groupBy("q_source").agg(F.first("whole"), F.when(F.first("threshold") < 0, F.lit(0)).otherwise(F.first("threshold")))
+    limits = cut(limits.toDF(at, whole, threshold))
+    joined = docs.withColumn(hash60, _hash(docs)).join(lookup(limits, limits.count()), F.col("source").eqNullSafe(F.col(at)))
+    times = (F.col(whole) + F.when(F.col(hash60) < F.col(threshold), F.lit(1)).otherwise(F.lit(0))).cast("int")
+    return joined.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
-def _limits(rows: DataFrame, quota: DataFrame) -> DataFrame:
-    return mix(rows, quota).groupBy(F.col("q_source").alias("__source")).agg(F.first("whole").alias("__whole"), F.when(F.first("threshold") < 0, F.lit(0)).otherwise(F.first("threshold")).alias("__threshold"))
+def _hash(docs: DataFrame) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 4)

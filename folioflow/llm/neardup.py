@@ -7,7 +7,7 @@ confirmed on the whole sets. Sets that are equal count as one from the start, so
 
 Defined cases: a null or empty text, or one of white space, has an empty set, is linked with nothing and kept; fewer than five words make one
 shingle; rows with a null doc_id take part, and a component of such rows only has a null id; repeated rows fall in one component; further
-columns stay out of the way; an empty table gives no row.
+columns, whatever their names, stay as they are; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import arrow_map, column, cut, lookup, mixed, seeded, shingle_codes, words_of
-from folioflow.llm.components import SKETCH_WORDS, linked_components
+from folioflow.llm.common import RANDOM_KEYS, arrow_map, column, cut, forget, fresh, lookup, mixed, of_groups, seeded, shingle_codes, words_of
+from folioflow.llm.components import linked_components
 
 WIDTH, CHUNK, CHUNKS = 5, 5, 10
 #: For pairs under 0.85 the chunks are shorter, so that the same share of errors is far above what such a pair has.
@@ -29,8 +29,6 @@ CHUNK_LOW, CHUNKS_LOW = 4, 12
 
 _A = seeded(21, 256) | np.uint64(1)
 _B = seeded(22, 256)
-_SA = (seeded(23, 64 * SKETCH_WORDS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_SB = (seeded(24, 64 * SKETCH_WORDS) >> np.uint64(32)).astype(np.uint32)
 
 
 def minima(codes: np.ndarray, hashes: int) -> np.ndarray:
@@ -59,20 +57,6 @@ def bits_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def sketch(codes: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
-    """One bit of each of 64 minima a word, packed in signed longs."""
-    n = 64 * words
-    low = (codes >> np.uint64(32)).astype(np.uint32) ^ codes.astype(np.uint32)
-    best = np.full(n, np.iinfo(np.uint32).max, np.uint32)
-    with np.errstate(over="ignore"):
-        for k in range(0, len(low), 128):  # rows of hashes, so that minima go along whole rows and stay in the cache
-            rows = low[k : k + 128, None] * _SA[None, :n]
-            rows += _SB[None, :n]
-            np.minimum(best, rows.min(axis=0), out=best)
-        bits = (mixed(best.astype(np.uint64) + (np.arange(n, dtype=np.uint64) << np.uint64(32))) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
-
-
 def shape_of(similarity: tuple[int, int]) -> tuple[int, int]:
     """Places in a chunk, and chunks."""
     return (CHUNK, CHUNKS) if similarity[0] * 100 >= 85 * similarity[1] else (CHUNK_LOW, CHUNKS_LOW)
@@ -96,43 +80,38 @@ def features(docs: DataFrame, similarity: tuple[int, int], width: int = WIDTH) -
         return out
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    return cut(arrow_map(rows, f, "doc_id long, th long, n long, set_key binary, keys array<long>, b0 long, b1 long", ["doc_id", "th"]))
-
+    return cut(arrow_map(rows, f, "doc_id long, th long, n long, set_key binary, keys array<long>, b0 long, b1 long", ["doc_id", "th"]), **RANDOM_KEYS)
 
-def _fetcher(docs: DataFrame, where: DataFrame, width: int):
-    """Sets and sketches of some nodes, from the text of one document each."""
-
-    def f(part: pa.RecordBatch) -> dict:
-        members, sketches = [], []
-        for text in column(part, "text"):
-            codes = shingle_codes(words_of(text), width)
-            members.append(codes.astype(np.int64))
-            sketches.append(sketch(codes))
-        return {"n": [len(m) for m in members], "members": members} | {f"s{k}": [int(x[k]) for x in sketches] for k in range(SKETCH_WORDS)}
 
-    schema = "node long, n int, members array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
+def _fetcher(docs: DataFrame, where: DataFrame):
+    """Texts of some nodes, from one document each."""
 
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = cut(nodes.join(where, "node").select("node", F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")))
-        few = lookup(wanted, wanted.count())
+        n = wanted.count()
         rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-        rows = rows.join(few, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
-        return arrow_map(rows, f, schema, ["node"])
+        found = cut(rows.join(lookup(wanted, n), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text"))
+        forget(wanted)
+        # a row that is repeated in full stands for its node several times
+        return found if found.count() == n else found.dropDuplicates(["node"])
 
     return fetch
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (85, 100), width: int = WIDTH) -> DataFrame:
-    """One row for each row of docs: doc_id, th, n_shingles, component_id, kept, and set_key, which rows of equal sets share."""
+    """One row for each row of docs: doc_id, th, n_shingles, component_id, kept, and root: what rows of a component share, null for empty sets."""
     feats = features(docs, similarity, width)
     classes = feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("keys").alias("keys"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     where = classes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
-    roots, _ = linked_components(classes.select("node", "keys", "b0", "b1"), _fetcher(docs, where, width), similarity, math.prod(shape_of(similarity)))
-    rooted = classes.select("set_key", "node", "least").join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select("set_key", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("set_key").alias("c_key"), "component_id", "root")
-    out = feats.join(named, F.col("set_key") == F.col("c_key"), "left")
+    roots = linked_components(classes.select("node", "keys", "b0", "b1"), _fetcher(docs, where), similarity, math.prod(shape_of(similarity)), lambda text: shingle_codes(words_of(text), width))
+    linked = cut(classes.select("node", "least").join(roots, "node"))
+    ids = linked.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("component_id"))
+    named = cut(of_groups(linked.select("node", "root"), "root", ids).select(F.col("node").alias("of"), "root", "component_id"))
+    # a class without links is a component of its own; null ids come last
+    every = classes.select("set_key", "node", "least").join(named, F.col("node") == F.col("of"), "left")
+    every = every.select(F.col("set_key").alias("c_key"), F.coalesce("root", "node").alias("root"), F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = feats.join(every, F.col("set_key") == F.col("c_key"), "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root")
 
@@ -142,12 +121,21 @@ def near_duplicate_rows(docs: DataFrame, similarity: tuple[int, int] = (85, 100)
 
 
 def without_near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs with one document of each component, the one of least doc_id; documents with empty sets all stay."""
-    found = near_duplicates(docs, similarity).where("kept")
-    # of rows that share the least id one stays, for each component
-    stay = found.groupBy(F.coalesce(F.col("root"), F.lit(-1)), F.when(F.col("root").isNull(), F.struct("doc_id", "th"))).agg(F.min(F.struct("doc_id", "th")).alias("stay"))
-    stay = stay.select(F.col("stay.doc_id").alias("__id"), F.col("stay.th").alias("__th"))
-    names = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    out = keyed.join(stay, (F.col("__key") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__key"]).select(*names)
+    """docs with one document of each component, the one of least (doc_id, hash of the text). Every row whose text has no word stays, as often
+    as it is there. Of rows equal in doc_id and text but not in further columns, the one of the least hash of all columns stays.
+    """
+    found = cut(near_duplicates(docs, similarity).where("root is not null").groupBy("root", "doc_id", "th", "kept").agg(F.count(F.lit(1)).alias("n")))
+    stay = found.where("kept").groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("s")).select("root", "s.*")
+    go = found.join(stay.select(F.col("root").alias("s_root"), F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")), (F.col("root") == F.col("s_root")) & (F.col("th") == F.col("s_th")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left_anti")
+    go, again = cut(go.select("doc_id", "th")), cut(stay.where("n > 1").select("doc_id", "th"))
+    key, c_id, c_key, row, least = fresh(docs.columns, "key", "c_id", "c_key", "row", "least")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    at = lambda df: lookup(df.toDF(c_id, c_key), df.count())
+    same = (F.col(key) == F.col(c_key)) & F.col("doc_id").eqNullSafe(F.col(c_id))
+    out = keyed.join(at(go), same, "left_anti")
+    if again.isEmpty():
+        return out.select(*docs.columns)
+    once = out.join(at(again), same, "left_anti").select(*docs.columns)
+    hashed = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    several = out.join(at(again), same, "left_semi").select("doc_id", key, F.struct(*docs.columns).alias(row), hashed.alias(least))
+    return once.unionByName(several.groupBy("doc_id", key).agg(F.min_by(row, least).alias(row)).select(f"{row}.*"))

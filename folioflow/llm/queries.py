@@ -27,7 +27,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.fingerprint_documents(_documents(spark, sf_dir))
+    return edits.fingerprint_classes(_documents(spark, sf_dir))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,7 +184,8 @@ def test_likeness_follows_edits():
 
 
 def test_fingerprint_documents(odd):
-    src = sorted(((i, t or "") for i, t, _ in input_of(odd)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    src = sorted(((i, t or "") for i, t, _ in input_of(odd)), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     want = Counter()
     for k, (i, t) in enumerate(src):
         nxt, half = src[(k + 1) % len(src)][1], len(t) // 2
@@ -195,13 +196,35 @@ def test_fingerprint_documents(odd):
     assert got == want
 
 
-def test_edit_components(spark):
+def test_edit_classes(spark, empty):
+    """Against all pairs of fingerprints."""
     rng = random.Random(4)
-    base = prose(rng, 200)
-    near = [base, base.replace("the", "thy", 1), base + "!"]
-    docs = table(spark, [(k, t, "en", "a") for k, t in enumerate([*near, prose(rng, 200), base, None, ""])])
-    got = {r["doc_id"]: r["class_id"] for r in rows_of(edits.edit_components(docs))}
-    assert got[0] == got[1] == got[2] == got[4] == 0 and got[3] == 3 and got[5] == got[6] == 5
+    texts = [None, "", "a", "a"]
+    for k in range(12):
+        base = prose(rng, 60 + 20 * k)
+        texts += [base, base + "!", base.replace("the", "thy", 1), base.replace(" ", "  ", 1), prose(rng, 5) + base[len(base) // 3 :]]
+    docs = table(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    prints = edits.fingerprints([t or "" for t in texts])
+    sets = [set(enumerate(p.tolist())) for p in prints]
+    least = round((edits.ALIKE * 15 / 16 + 1 / 16) * edits.SLOTS)
+    root = brute_components(sets, least, 2 * edits.SLOTS - least)
+    want = {k: min(j for j, r in enumerate(root) if r == root[k]) for k in range(len(texts))}
+    got = rows_of(edits.fingerprint_classes(docs))
+    assert {r["doc_id"]: r["class_id"] for r in got} == want and 10 < len(set(want.values())) < len(texts) - 10
+    assert len(got) == len(texts) and edits.fingerprint_classes(empty).count() == 0
+
+
+def test_bands_of_like_fingerprints():
+    """Pairs that are equal in just as many samples as a link needs nearly always share a band, unlike ones nearly never."""
+    rng = np.random.default_rng(5)
+    least = round((edits.ALIKE * 15 / 16 + 1 / 16) * edits.SLOTS)
+    one = rng.integers(0, 16, (3000, edits.SLOTS)).astype(np.uint8)
+    two = one.copy()
+    for row in two:
+        at = rng.choice(edits.SLOTS, edits.SLOTS - least, replace=False)
+        row[at] = (row[at] + rng.integers(1, 16, len(at))) % 16
+    x, y = (edits.band_keys([edits.as_text(r) for r in side]) for side in (one, two))
+    assert (x == y).any(axis=1).mean() > 0.996 and not (x[1:] == y[:-1]).any()
 
 
 # -- 4
@@ -482,10 +505,78 @@ def test_chunk_keys_meet_for_all_pairs_under_the_threshold():
         assert set(neardup.chunk_keys(a, 5).tolist()) & set(neardup.chunk_keys(b, 5).tolist())
 
 
-def test_components_of_chains(spark):
-    edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, 5), (205, 200), (205, 210)]
+def test_components_of_chains(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(1000)] + [(2100, 2101), (2101, 2100), (5, 5), (3205, 3200), (3205, 3210)]
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: cuts.append(1) or cut(df))
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[k] == 0 for k in range(61)) and got[101] == got[100] == 100 and got[210] == got[205] == got[200] == 200
+    assert len(got) == 1006 and {got[k] for k in range(1001)} == {got[0]} and got[2101] == got[2100] and got[3210] == got[3205] == got[3200]
+    assert len({got[0], got[2100], got[3200]}) == 3 and all(got[r] == r for r in got.values())
+    assert len(cuts) / 2 < 15  # two tables a round
+
+
+def test_bits_of_pairs_at_the_threshold():
+    for s, n in ((0.85, 50), (0.8, 48), (0.8, 80)):
+        p, m = (1 - s) / 2, components.most_bits(s, n)
+        tail = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(m + 1, n + 1))
+        assert tail <= components.RISK < tail + math.comb(n, m) * p**m * (1 - p) ** (n - m)
+
+
+def test_large_groups_are_joined_in_parts(spark, monkeypatch):
+    """One hot group, so small limits that every split is taken."""
+    from folioflow.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 20)
+    rows = spark.createDataFrame([(k, k % 3 if k < 30 else 9) for k in range(300)], "node long, root long")
+    groups = spark.createDataFrame([(0, 10, "x"), (1, 10, "y"), (2, 10, "z"), (9, 270, "w")], "root long, size long, name string")
+    assert Counter(r["name"] for r in common.of_groups(rows, "root", groups).collect()) == {"x": 10, "y": 10, "z": 10, "w": 270}
+
+
+def test_no_link_is_lost_in_blocks(spark, monkeypatch):
+    """Groups with many outsiders, in blocks and salts of a few rows: the components are those of all pairs that share a key."""
+    monkeypatch.setattr(components, "BLOCK", 3)
+    monkeypatch.setattr(components, "RUN", 4)
+    rng = random.Random(12)
+    base = list(range(100, 160))
+    sets = []
+    for k in range(90):
+        mine = set(base) - set(rng.sample(base, rng.choice([2, 5, 8, 11]))) | {rng.randrange(10**6) for _ in range(rng.choice([0, 1, 6]))}
+        sets.append(mine)
+        if k % 3 == 0:  # a copy of an outsider, in one place different
+            sets.append(mine - {min(mine)} | {k})
+    text = lambda x: " ".join(map(str, sorted(x)))
+    nodes = spark.createDataFrame([(k, [1], 0, 0) for k in range(len(sets))], "node long, keys array<long>, b0 long, b1 long")
+    texts = spark.createDataFrame([(k, text(x)) for k, x in enumerate(sets)], "node long, text string")
+    found = components.linked_components(nodes, lambda some: some.join(texts, "node"), (80, 100), 64, lambda t: np.array(sorted(map(int, t.split())), np.uint64))
+    root = {r["node"]: r["root"] for r in found.collect()}
+    want = brute_components(sets, 80, 100)
+    same = lambda of: {frozenset(k for k in range(len(sets)) if of(k) == r) for r in {of(k) for k in range(len(sets))}}
+    assert same(lambda k: root.get(k, k)) == same(lambda k: want[k]) and len(set(want)) > 3
+
+
+INSIDE = ["key", "c_id", "c_key", "row", "least", "g_id", "g_th", "drop", "th", "root", "n_lines", "n_removed", "source_", "whole", "threshold", "times", "copy", "node", "k", "h", "_1"]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(k, f"line {k} of this table with words {k * 7}\nshared line of all the texts in here", "en", "s" if k % 2 else "t", 0, *(f"{c}{k}" for c in INSIDE)) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in INSIDE))
+    want = {r["doc_id"]: [r[c] for c in INSIDE] for r in docs.collect()}
+    for f in (neardup.without_near_duplicates, mixing.mixed_documents):
+        out = f(docs)
+        got = rows_of(out)
+        assert out.columns == docs.columns and got and all([r[c] for c in INSIDE] == want[r["doc_id"]] for r in got)
+    out = lines.without_duplicate_lines(docs, total="all of them", gone="went")
+    assert out.columns == [*docs.columns, "all of them", "went"] and all([r[c] for c in INSIDE] == want[r["doc_id"]] for r in rows_of(out))
+
+
+def test_rows_without_words_all_stay(spark):
+    schema = "doc_id long, text string, extra string, m map<string,int>"
+    rows = [(None, None, "a", {"x": 1}), (None, "", "b", None), (3, "", "c", None), (3, "", "d", None), (None, None, "e", None), (3, " \t", "f", None)]
+    same = [(4, "the very same words in here", "g", None), (4, "the very same words in here", "h", {"y": 2}), (5, "the very same words in here", "i", None)]
+    docs = spark.createDataFrame(rows + same, schema)
+    got = sorted(r["extra"] for r in rows_of(neardup.without_near_duplicates(docs)))
+    assert got[:6] == list("abcdef") and len(got) == 7 and got[6] in "gh"
+    assert got == sorted(r["extra"] for r in rows_of(neardup.without_near_duplicates(docs.repartition(5))))
 
 
 def test_line_dedup(odd, empty):
@@ -501,9 +592,8 @@ def test_line_dedup(odd, empty):
     for i, _, t in src:
         want[i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not lines.normal(x) or first[root[lines.normal(x)]] == (i, n))] += 1
     got = Counter((r["doc_id"], r["text"]) for r in rows_of(lines.cleaned_documents(odd)))
-    # of the pairs under the signatures' reach one in forty may be missed at the threshold; there are none in this table
     assert got == want and lines.cleaned_documents(empty).count() == 0
-    assert lines.without_duplicate_lines(odd).columns[:-2] == odd.columns
+    assert lines.without_duplicate_lines(odd).columns == [*odd.columns, "n_lines", "n_removed"]
 
 
 def test_like_lines_share_a_band():
@@ -554,7 +644,7 @@ def test_weights_share_the_keys(spark):
 # -- all
 
 
-@pytest.mark.parametrize("f", [packing.packed_documents, mixing.mix_documents, mixing.mixed_documents, edits.fingerprint_documents, media.media_of_documents])
+@pytest.mark.parametrize("f", [packing.packed_documents, mixing.mix_documents, mixing.mixed_documents, edits.fingerprint_documents, edits.fingerprint_classes, media.media_of_documents])
 def test_empty_tables_give_no_row(empty, f):
     assert f(empty).count() == 0
 
