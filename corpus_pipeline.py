@@ -16,9 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with one line of each group of near-equal lines left in the corpus."""
-    names = docs.columns
     out = lines.without_duplicate_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
