@@ -5,8 +5,8 @@ are its affixes), the word itself, and whether it is in the lexicon of a languag
 between the languages of neighbouring words are learned with them, from sentences that switch language. Forward-backward gives each word's
 distribution; a document's language has the largest mean over its words, and that mean is the score.
 
-Training takes about PER_LANGUAGE documents of each language (those of small hash) and TRAIN_WORDS words of each,
-drawn over its whole text, on the driver. Prediction
+Training takes about PER_LANGUAGE documents of each language (those of small hash), at most MOST_DOCUMENTS in all, and TRAIN_WORDS words of
+each, drawn over its whole text, on the driver. Of rows that share an id and a language one is learned from. Prediction
 covers all words of all documents, each of which is one chain; the chains of training are WINDOW words long.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without training documents every one is; a null doc_id is not held
@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import arrow_map, column, mixed, seeded
+from folioflow.llm.common import arrow_map, column, cut, lookup, mixed, seeded
 
 PER_LANGUAGE, TRAIN_WORDS = 1200, 60
+#: Documents to learn from at most, whatever the number of languages.
+MOST_DOCUMENTS = 40_000
 WINDOW = 64
 #: Words in a batch of chains that are decoded together; a longer document is a batch of its own.
 CELLS = 8192 * 64
@@ -184,8 +186,8 @@ def drawn_words(words: list[str]) -> list[str]:
 def train(docs: DataFrame) -> Field | None:
     from_ = docs.where(F.col("lang").isNotNull() & (learned_part(F.col("doc_id")) != 2)).select("doc_id", "lang", "text")
     share = from_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("l"), (F.lit(float(PER_LANGUAGE)) / F.col("n")).alias("share"))
-    # a row for each language
-    some = from_.join(F.broadcast(share), F.col("lang") == F.col("l"))
+    share = cut(share)
+    some = from_.join(lookup(share, share.count()), F.col("lang") == F.col("l"))
     some = some.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") * 2.0**-53 < F.col("share"))
 
     def f(part: pa.RecordBatch) -> dict:
@@ -194,7 +196,8 @@ def train(docs: DataFrame) -> Field | None:
             out.append(drawn_words(words_of(text)))
         return {"words": out}
 
-    rows = arrow_map(some.select("doc_id", "lang", "text"), f, "doc_id long, lang string, words array<string>", ["doc_id", "lang"]).collect()
+    drawn = arrow_map(some.select("doc_id", "lang", "text"), f, "doc_id long, lang string, words array<string>", ["doc_id", "lang"])
+    rows = drawn.groupBy("doc_id", "lang").agg(F.min("words").alias("words")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(MOST_DOCUMENTS).collect()
     return fit([(r["lang"], r["words"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["words"]))])
 
 

@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     wanted = F.broadcast(marks.select("l_id", F.col("y").cast("int").alias("y")).union(free))
     some = docs.join(wanted, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "source", "lang", "n_chars", "y")
     schema = "doc_id long, y int, a_ids array<long>, a_values array<double>, b_ids array<long>"
-    got = arrow_map(some, _features, schema, ["doc_id", "y"]).limit(labelled + pool).toArrow()
+    found = arrow_map(some, _features, schema, ["doc_id", "y"])
+    # of rows that share an id, the least features stand for all
+    got = found.groupBy("doc_id", "y").agg(F.min(F.struct("a_ids", "a_values", "b_ids")).alias("least")).select("doc_id", "y", "least.*").toArrow()
     y, ids = got.column("y").to_numpy(), got.column("doc_id").to_numpy()
     parts = [arrays_of(got, c) for c in ("a_ids", "a_values", "b_ids")]
     order = sorted(range(len(y)), key=lambda k: (zlib.crc32(str(ids[k]).encode()), ids[k], parts[0][k].tobytes()))

@@ -2,13 +2,13 @@
 
 P(grade > k) = sigmoid(w x - theta_k): one weight for each word, shared by all thresholds, and ordered thresholds. The score of a document is
 its expected grade. It is fitted on the driver on at most TRAIN_ROWS labelled documents, those of least hash of doc_id; only words that set
-labelled groups apart beyond chance get a weight, so long clean texts don't add up noise. Every document is then scored over its whole text.
+labelled groups apart beyond chance get a weight, so long clean texts don't add up noise, and of them at most MOST_WORDS, the clearest. Every document is then scored over its whole text.
 
 A label above 1 is a grade. Labels of 0 and 1 say no more than toxic or not; then a toxic document's grade is 1, 2 or 3 with one, two to
 three, or more different indicative words.
 
 Defined cases: a null or empty text has no words, and the score that follows from the thresholds; null labels are left out; without labels of
-two grades every score is 0 and nothing is rejected; repeated rows get equal scores; further columns stay; an empty table gives no row.
+two grades every score is 0 and nothing is rejected; repeated rows get equal scores, and of rows that share a labelled id one is learned from; further columns stay; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -47,12 +47,14 @@ def word_ids(text: str | None) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, features, schema: str) -> pa.Table:
-    """Features of at most so many labelled documents, on the driver. features: a function of texts, run where the texts are."""
+    """y and features of at most so many labelled documents, on the driver. features: a function of texts, run where the texts are. Of rows
+    that share an id, the least features stand for all."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("l_id"), "y")
     # at most `rows` pairs of numbers are broadcast
     some = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
-    return arrow_map(some.select("text", F.col("y").cast("int").alias("y")), features, schema, ["y"]).limit(rows).toArrow()
+    found = arrow_map(some.select("doc_id", "text", F.col("y").cast("int").alias("y")), features, f"doc_id long, y int, {schema}", ["doc_id", "y"])
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct(*found.columns[2:])).alias("least")).select("y", "least.*").toArrow()
 
 
 def arrays_of(got: pa.Table, name: str) -> list[np.ndarray]:
@@ -114,7 +116,7 @@ def telling(sets: list[np.ndarray], y: np.ndarray, least: float = 4.0) -> np.nda
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Ordinal:
     none = Ordinal(np.empty(0, np.int64), np.empty(0), np.full(1, 40.0), float("inf"))
-    got = labelled_sample(docs, labels, label, rows, lambda part: {"ids": [word_ids(t) for t in column(part, "text")]}, "y int, ids array<int>")
+    got = labelled_sample(docs, labels, label, rows, lambda part: {"ids": [word_ids(t) for t in column(part, "text")]}, "ids array<int>")
     y = got.column("y").to_numpy().astype(int)
     sets = arrays_of(got, "ids")
     # rows come in no fixed order, and sums of floats depend on it
