@@ -80,7 +80,7 @@ def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     """(node, root) of the nodes that have links.
 
     nodes: node long, keys array<long>, b0 and b1 long: one bit of each of `bits` minima; a node may stand there more than once. fetch(table with
-    column node) gives node and text, once for each node, from a table of cut() or a plan over one; codes_of(text) are the sorted distinct codes of its set. similarity: numerator and
+    column node) gives node and text, once for each node, and must be done with its argument (by cut) when it returns; codes_of(text) are the sorted distinct codes of its set. similarity: numerator and
     denominator; a link has intersection * den >= num * union on the whole sets.
     """
     far = most_bits(similarity[0] / similarity[1], bits)

@@ -255,7 +255,7 @@ def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
     # 128 of the bits, one of every other sample: as many differ between two fingerprints as of single bits of minima
     nodes = cut(arrow_map(distinct.select("node", "fingerprint"), keys, "node long, keys array<long>, b0 long, b1 long", ["node"]))
     least = round((alike * 15 / 16 + 1 / 16) * SLOTS)
-    fetch = lambda some: distinct.join(some, "node").select("node", F.col("fingerprint").alias("text"))
+    fetch = lambda some: cut(distinct.join(some, "node").select("node", F.col("fingerprint").alias("text")))
     roots = linked_components(nodes, fetch, (least, 2 * SLOTS - least), 128, _codes)
     forget(nodes)
     linked = cut(distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("fingerprint", "least", "root"))
