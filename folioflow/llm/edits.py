@@ -263,7 +263,8 @@ def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
     named = of_groups(linked.select("fingerprint", "root"), "root", ids).select("fingerprint", "class_id")
     alone = distinct.join(linked.select("fingerprint"), "fingerprint", "left_anti").select("fingerprint", "least")
     named = cut(named.union(alone).withColumnRenamed("fingerprint", "p"))
-    return rows.join(lookup(named, named.count()), F.col("fingerprint") == F.col("p")).drop("p")
+    n = named.count()
+    return rows.join(lookup(named, n, n * SLOTS // 16), F.col("fingerprint") == F.col("p")).drop("p")  # SLOTS hex digits each
 
 
 def fingerprint_classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
