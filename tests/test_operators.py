@@ -172,3 +172,35 @@ def test_signatures_images_and_annotations(spark):
     assert [(r["name"], bytes(r["data"])) for r in pdf.unnest(parsed, "images").collect()] == [("Im", b"\x07"), ("Inline0", b"\x01")]
     assert pdf.unnest(parsed, "signatures").first()["reason"] == "r" and [r["uri"] for r in pdf.unnest(parsed, "annotations").collect()] == ["u"]
     assert Ref(1, 0) in b.objects
+
+
+def test_flatten_of_odd_trees(spark):
+    from folioflow.operators import graph
+
+    chain = [(2, k, k - 1 if k else None, 7, f"d{k}") for k in range(40)]
+    rows = [(1, 1, None, 0, "a"), (1, 2, 1, 1, "b"), (1, 3, 2, 0, None), (1, 4, 99, 0, "lost"), (1, 5, 6, 0, "c"), (1, 6, 5, 0, "c"), (1, 7, 7, 0, "self"), *chain]
+    got = {(r["doc_id"], r["id"]): (r["name"], r["path"], r["depth"]) for r in graph.flatten(spark.createDataFrame(rows, "doc_id long, id long, parent long, ord int, name string")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, 1): ("a", [0], 1), (1, 2): ("a.b", [0, 1], 2), (1, 3): (None, [0, 1, 0], 3)}
+    assert sorted(i for d, i in got if d == 2) == list(range(32)) and got[2, 31][2] == 32
+    few = graph.flatten(spark.createDataFrame(rows, "doc_id long, id long, parent long, ord int, name string"), 3)
+    assert {r["depth"] for r in few.collect()} == {1, 2, 3}
+
+
+def test_flatten_of_more_than_a_million_nodes(spark):
+    from pyspark.sql import functions as F
+
+    from folioflow.operators import graph
+
+    nodes = spark.range(1, 1_100_001).select(F.lit(1).alias("doc_id"), "id", F.when(F.col("id") >= 10, F.floor(F.col("id") / 10)).alias("parent"), (F.col("id") % 10).cast("int").alias("ord"), F.lit("n").alias("name"))
+    got = {r["depth"]: r["count"] for r in graph.flatten(nodes, 8).groupBy("depth").count().collect()}
+    assert got == {1: 9, 2: 90, 3: 900, 4: 9000, 5: 90000, 6: 900000, 7: 100001}
+
+
+def test_renumber_over_blocks(spark, monkeypatch):
+    from folioflow.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    rows = [(p, n, [n]) for p in range(10) for n in range(1, p + 2)]
+    got = {(r["part"], r["num"]): (r["new_num"], r["refs"]) for r in graph.renumber(spark.createDataFrame(rows, "part int, num long, refs array<long>")).collect()}
+    shift = {p: sum(q + 1 for q in range(p)) for p in range(10)}
+    assert got == {(p, n): (n + shift[p], [n + shift[p]]) for p, n, _ in rows}
