@@ -33,27 +33,40 @@ def anchored(values: Column, tolerance: float) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["out"])
 
 
-def group_lines(runs: DataFrame, page: list[str] = PAGE, order: str = "run_index", tolerance: float = LINE_TOLERANCE) -> DataFrame:
-    """runs with line_no (from 1, top first) and line_y, the y of the line's first run."""
+def _pages(runs: DataFrame, page: list[str], order: str, tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """A row for each page: its runs from the top down (rs), and the number of each one's line (nos)."""
     kept = [c for c in runs.columns if c not in page]
     pages = runs.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("__down"), F.col("x").alias("__x"), F.col(order).alias("__o"), F.struct(*kept).alias("r")))).alias("rs"))
-    pages = pages.withColumn("nos", anchored(F.transform("rs", lambda r: -r["__down"]), tolerance))
-    rows = pages.select(*page, F.explode(F.arrays_zip(F.col("rs.r").alias("r"), F.col("nos").alias("no"))).alias("z"))
-    rows = rows.select(*page, "z.r.*", F.col("z.no").alias("line_no"))
+    return pages.withColumn("nos", anchored(F.transform("rs", lambda r: -r["__down"]), tolerance))
+
+
+def _runs_of(pages: DataFrame, page: list[str], order: str, *more: str) -> DataFrame:
+    """The runs of _pages, with line_no (from 1, top first) and line_y, the y of the line's first run."""
+    rows = pages.select(*page, *more, F.explode(F.arrays_zip(F.col("rs.r").alias("r"), F.col("nos").alias("no"))).alias("z"))
+    rows = rows.select(*page, *more, "z.r.*", F.col("z.no").alias("line_no"))
     first = F.first("y").over(Window.partitionBy(*page, "line_no").orderBy(F.col("y").desc(), "x", order))
     return rows.withColumn("line_y", first)
 
 
+def group_lines(runs: DataFrame, page: list[str] = PAGE, order: str = "run_index", tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """runs with line_no (from 1, top first) and line_y, the y of the line's first run."""
+    return _runs_of(_pages(runs, page, order, tolerance), page, order)
+
+
 def lines(runs: DataFrame, page: list[str] = PAGE, order: str = "run_index") -> DataFrame:
     """A row for each line: its runs by x, its y, and its extent."""
-    with_lines = group_lines(runs, page, order)
-    kept = [c for c in runs.columns if c not in page]
+    return _lines_of(_pages(runs, page, order), runs.columns, page, order)
+
+
+def _lines_of(pages: DataFrame, columns: list[str], page: list[str], order: str, *more: str) -> DataFrame:
+    with_lines = _runs_of(pages, page, order, *more)
+    kept = [c for c in columns if c not in page]
     members = F.sort_array(F.collect_list(F.struct(F.col("x").alias("__x"), F.col(order).alias("__o"), F.struct(*kept).alias("r"))))
     out = with_lines.groupBy(*page, "line_no").agg(
         F.first("line_y").alias("y"), members.alias("ms"), F.min("x").alias("min_x"), F.max(F.col("x") + F.col("width")).alias("max_x"),
-        F.min("y").alias("min_y"), F.max(F.col("y") + F.col("height")).alias("max_y"),
+        F.min("y").alias("min_y"), F.max(F.col("y") + F.col("height")).alias("max_y"), *[F.first(c).alias(c) for c in more],
     )
-    return out.select(*page, "line_no", "y", "min_x", "max_x", F.col("ms.r").alias("runs"), F.struct(F.col("min_x").alias("x"), F.col("min_y").alias("y"), (F.col("max_x") - F.col("min_x")).alias("width"), (F.col("max_y") - F.col("min_y")).alias("height")).alias("bbox"))
+    return out.select(*page, "line_no", "y", "min_x", "max_x", F.col("ms.r").alias("runs"), F.struct(F.col("min_x").alias("x"), F.col("min_y").alias("y"), (F.col("max_x") - F.col("min_x")).alias("width"), (F.col("max_y") - F.col("min_y")).alias("height")).alias("bbox"), *more)
 
 
 def upper_median(values: Column) -> Column:
@@ -62,26 +75,33 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
 
 
-def font_stats(runs: DataFrame, page: list[str] = PAGE, order: str = "run_index", lined: DataFrame | None = None) -> DataFrame:
-    """A row for each page: body_size, body_font, body_bold and median_spacing. Of equally frequent sizes or names the smaller is the body's."""
-    by_size = runs.withColumn("__k", F.greatest(F.round(F.col("font_size") * 2), F.lit(0.0)))
-    by_name = by_size.groupBy(*page, "__k", "font_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_bold").alias("bold"))
-    sizes = by_name.groupBy(*page, "__k").agg(F.sum("n").alias("total"), F.sum("bold").alias("bold"), F.max(F.struct("n", F.lit(0))).alias("__m"), F.collect_list(F.struct((-F.col("n")).alias("less"), "font_name")).alias("names"))
-    best = sizes.groupBy(*page).agg(F.min(F.struct((-F.col("total")).alias("less"), "__k", "bold", "names")).alias("b"))
-    body = best.select(*page, (F.col("b.__k") / 2).alias("body_size"), F.array_min("b.names")["font_name"].alias("body_font"), (F.col("b.bold") > F.floor(-F.col("b.less") / 2)).alias("body_bold"))
-    lined = lines(runs, page, order) if lined is None else lined
-    ys = lined.groupBy(*page).agg(F.sort_array(F.collect_list("y"), asc=False).alias("ys"))
-    gaps = F.zip_with(F.slice("ys", 1, F.greatest(F.size("ys") - 1, F.lit(0))), F.slice("ys", 2, F.size("ys")), lambda a, b: F.abs(a - b))
-    out = body.join(ys, page)
+STATS = ["body_size", "body_font", "body_bold", "median_spacing"]
+
+
+def _with_stats(pages: DataFrame) -> DataFrame:
+    """_pages with the font statistics of each, from its array of runs: a page is read once, and nothing is joined."""
+    doubled = lambda r: F.greatest(F.round(r["r"]["font_size"] * 2), F.lit(0.0))
+    # the most frequent first: the least of (minus count, value)
+    most = lambda values: F.array_min(F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda x: x.eqNullSafe(v)))).alias("less"), v.alias("value"))))
+    pages = pages.withColumn("__size", most(F.transform("rs", doubled)))
+    pages = pages.withColumn("__body", F.filter("rs", lambda r: doubled(r).eqNullSafe(F.col("__size.value"))))
+    bold = F.size(F.filter("__body", lambda r: r["r"]["is_bold"]))
+    starts = F.filter(F.transform("rs", lambda r, i: F.when((i == 0) | (F.get("nos", i) != F.get("nos", i - 1)), -r["__down"])), lambda y: y.isNotNull())
+    pages = pages.withColumn("__ys", F.sort_array(starts, asc=False)).withColumn("body_size", F.col("__size.value") / 2)
+    gaps = F.zip_with(F.slice("__ys", F.lit(1), F.greatest(F.size("__ys") - 1, F.lit(0))), F.slice("__ys", F.lit(2), F.size("__ys")), lambda a, b: F.abs(a - b))
     spacing = upper_median(F.filter(gaps, lambda g: (g > 0.1) & (g < F.col("body_size") * 5)))
-    return out.select(*page, "body_size", "body_font", "body_bold", F.coalesce(spacing, F.col("body_size") * 1.2).alias("median_spacing"))
+    pages = pages.withColumn("body_font", most(F.transform("__body", lambda r: r["r"]["font_name"]))["value"]).withColumn("body_bold", bold > F.floor(F.size("__body") / 2))
+    return pages.withColumn("median_spacing", F.coalesce(spacing, F.col("body_size") * 1.2)).drop("__size", "__body", "__ys")
+
+
+def font_stats(runs: DataFrame, page: list[str] = PAGE, order: str = "run_index") -> DataFrame:
+    """A row for each page: body_size, body_font, body_bold and median_spacing. Of equally frequent sizes or names the smaller is the body's."""
+    return _with_stats(_pages(runs, page, order)).select(*page, *STATS)
 
 
 def blocks(runs: DataFrame, page: list[str] = PAGE, order: str = "run_index") -> DataFrame:
     """A block for each line with its role (Heading, Paragraph, ListItem, Code), level and place."""
-    lined = lines(runs, page, order)
-    joined = lined.join(font_stats(runs, page, order, lined), page)
-    return classify(joined, page)
+    return classify(_lines_of(_with_stats(_pages(runs, page, order)), runs.columns, page, order, *STATS), page)
 
 
 def classify(joined: DataFrame, page: list[str] = PAGE) -> DataFrame:
