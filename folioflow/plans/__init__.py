@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["layout_queries", "tag_queries", "ocr_queries", "value_queries", "graph_queries", "pdf_queries"]
+MODULES = ["layout_queries", "tag_queries", "ocr_queries", "value_queries", "graph_queries", "pdf_queries", "file_queries"]
 
 
 def query(sql: str | None = None):
