@@ -245,7 +245,7 @@ def _codes(text: str) -> np.ndarray:
 
 def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
     """rows (doc_id, fingerprint and more) with class_id, the least doc_id that links lead to: null if all have null ids."""
-    distinct = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    distinct = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
 
     def keys(part: pa.RecordBatch) -> dict:
         prints = column(part, "fingerprint")
@@ -261,10 +261,12 @@ def classes(rows: DataFrame, alike: float = ALIKE) -> DataFrame:
     linked = cut(distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("fingerprint", "least", "root"))
     ids = linked.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("class_id"))
     named = of_groups(linked.select("fingerprint", "root"), "root", ids).select("fingerprint", "class_id")
-    alone = distinct.join(linked.select("fingerprint"), "fingerprint", "left_anti").select("fingerprint", "least")
-    named = cut(named.union(alone).withColumnRenamed("fingerprint", "p"))
+    # a fingerprint that one row has and that has no link needs no look-up: its class is the row's own id
+    alone = distinct.where("copies > 1").join(linked.select("fingerprint"), "fingerprint", "left_anti").select("fingerprint", "least")
+    named = cut(named.union(alone).select(F.col("fingerprint").alias("p"), "class_id"))
     n = named.count()
-    return rows.join(lookup(named, n, n * SLOTS // 16), F.col("fingerprint") == F.col("p")).drop("p")  # SLOTS hex digits each
+    joined = rows.join(lookup(named, n, n * SLOTS // 16), F.col("fingerprint") == F.col("p"), "left")  # SLOTS hex digits each
+    return joined.select(*rows.columns, F.when(F.col("p").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def fingerprint_classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
