@@ -28,6 +28,10 @@ _RUN = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
 }
+_RULES = "spark.sql.optimizer.excludedRules"
+#: Settings of cut() for a grouping of rows that were dealt out and sorted by its key: one pass over the sorted rows, no table of groups.
+#: The sort has to be kept for that: Spark takes it away before a grouping, as it doesn't change the result.
+SORTED_GROUPS = {"spark.sql.execution.replaceHashWithSortAgg": "true", _RULES: "org.apache.spark.sql.catalyst.optimizer.EliminateSorts"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,16 +56,20 @@ def _files(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def cut(df: DataFrame, **options: str) -> DataFrame:
+def cut(df: DataFrame, settings: dict[str, str] | None = None, **options: str) -> DataFrame:
     """The rows, computed once: a Parquet table in the shared folder, which goes with forget() or when the application ends. options: the writer's.
+    settings hold for this query only; rules to leave out are added to those that the session leaves out.
 
     A table rather than checkpoint(): it is compressed, read by column, and carries no constraints of the plan that made it, which double
     with each round of an iteration.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _RUN}
-    for k, v in _RUN.items():
+    run = _RUN | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in run}
+    if _RULES in run and before[_RULES]:
+        run[_RULES] = f"{before[_RULES]},{run[_RULES]}"
+    for k, v in run.items():
         spark.conf.set(k, v)
     try:
         df.write.options(**options).parquet(path)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import arrow_map, column, cut, forget, lookup, mixed
+from folioflow.llm.common import SORTED_GROUPS, arrow_map, column, cut, forget, lookup, mixed
 
 #: 64-bit words in the bitmap of what a set lacks, and in that of what it has besides.
 WORDS = 8
@@ -28,6 +28,8 @@ WORDS = 8
 RUN = 2000
 #: Outsiders of one centre in a block.
 BLOCK = 512
+#: One row of so many is looked at to tell which keys are frequent, which are those with at least so many rows and such a share of what was seen.
+SEEN, FREQUENT, SHARE = 64, 8, 2000
 #: A pair at the threshold is left out for its bits with this probability at most.
 RISK = 1e-6
 
@@ -85,7 +87,7 @@ def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     """
     far = most_bits(similarity[0] / similarity[1], bits)
     postings = nodes.select("node", "b0", "b1", F.explode("keys").alias("k"))
-    groups = cut(postings.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")).where("lo <> hi"))
+    groups = _groups(nodes)
     stars = _stars(groups, postings, far)
     few = _small_pairs(groups, nodes).where(_differ() <= far)
     both = cut(stars.where("near").select("a", "b", "c").union(few.select("a", "b", F.lit(0).cast("long"))))
@@ -112,6 +114,23 @@ def linked_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     return cut(known.join(over, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")))
 
 
+def _groups(nodes: DataFrame) -> DataFrame:
+    """Of each key with different nodes: k, c (rows), lo, hi (least and greatest node) and x (all nodes under XOR); cut.
+
+    Most keys have one row, so that a grouping before the shuffle would only cost time: rows are dealt out and sorted by key. Rows of frequent
+    keys are grouped where they are first, so that no task gets them all. A sample tells which these are; it has no part in the result.
+    """
+    facts = [F.count(F.lit(1)).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("x")]
+    rows = nodes.select("node", F.explode("keys").alias("k"))
+    seen = nodes.sample(1 / SEEN, seed=1).select(F.explode("keys").alias("k"))
+    total = seen.count()
+    frequent = [r["k"] for r in seen.groupBy("k").count().where(F.col("count") >= max(FREQUENT, total / SHARE)).collect()]
+    dealt = (rows.where(~F.col("k").isin(frequent)) if frequent else rows).repartition("k").sortWithinPartitions("k").groupBy("k").agg(*facts)
+    if frequent:
+        dealt = dealt.union(rows.where(F.col("k").isin(frequent)).groupBy("k").agg(*facts))
+    return cut(dealt.where("lo <> hi"), SORTED_GROUPS)
+
+
 def _nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
