@@ -676,3 +676,22 @@ def test_pipeline(spark, tmp_path, labelled):
     want = Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in rows_of(packing.packed_documents(step)))
     got = Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in rows_of(corpus_pipeline.run(spark, str(tmp_path))))
     assert got == want and got
+
+
+def test_groups_of_frequent_keys(spark):
+    from folioflow.llm import components as linking
+
+    nodes = spark.range(20000).selectExpr("id AS node", "array(if(id % 3 = 0, -1, id), 100000 + id DIV 2, 200000 + id) AS keys")
+    got = {tuple(r) for r in linking._groups(nodes).select("k", "c", "lo", "hi", "x").collect()}
+    want: dict[int, list[int]] = {}
+    for n in range(20000):
+        for k in (-1 if n % 3 == 0 else n, 100000 + n // 2, 200000 + n):
+            want.setdefault(k, []).append(n)
+    expected = set()
+    for k, found in want.items():
+        if len(found) > 1:
+            x = 0
+            for n in found:
+                x ^= n
+            expected.add((k, len(found), min(found), max(found), x))
+    assert got == expected
