@@ -39,7 +39,9 @@ PIXEL_SQL = "p AS (SELECT label, CAST(floor((x + 1) * 127) AS INT) AS v FROM (SE
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x"))
-    return e.select("label", F.floor((F.col("x") + 1) * 127).cast("int").alias("v"))
+    # in single precision, as the numbers are: with an int Spark would go to double, and a value just under a whole number would fall to the one below
+    one, scale = F.lit(1).cast("float"), F.lit(127).cast("float")
+    return e.select("label", F.floor((F.col("x") + one) * scale).cast("int").alias("v"))
 
 
 OTSU_SQL = """k AS (SELECT label, v, count(*) AS n FROM p GROUP BY ALL), g AS (SELECT l.label, CAST(r.t AS INT) AS t, coalesce(k.n, 0)::DOUBLE AS n FROM (SELECT DISTINCT label FROM p) l CROSS JOIN range(256) r(t) LEFT JOIN k ON k.label = l.label AND k.v = r.t),
