@@ -1,8 +1,14 @@
 """Results at the edges of types and sizes that the small tables don't reach."""
 
 import numpy as np
+import pyarrow as pa
 
-from folioflow.plans import ocr_queries
+from folioflow.pdf import crypto, filters, writer
+from folioflow.pdf.syntax import Ref
+from folioflow.plans import file_queries, ocr_queries
+from folioflow.sources import pdf
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_pixels_are_computed_in_single_precision(spark, tmp_path):
@@ -12,3 +18,31 @@ def test_pixels_are_computed_in_single_precision(spark, tmp_path):
     got = [r["v"] for r in ocr_queries._pixels(spark, str(tmp_path)).collect()]
     single = np.floor((np.array(xs, np.float32) + np.float32(1)) * np.float32(127)).astype(int).tolist()
     assert got == single and single != np.floor((np.array(xs) + 1) * 127).astype(int).tolist()
+
+
+class Counted(dict):
+    """A dictionary that counts how often it is gone through."""
+
+    passes = 0
+
+    def __iter__(self):
+        self.passes += 1
+        return super().__iter__()
+
+
+def test_objects_are_added_without_going_through_all():
+    b = writer.Builder()
+    b.objects = Counted(b.objects)
+    refs = [b.add(k) for k in range(50)]
+    assert [r.num for r in refs] == list(range(3, 53)) and b.objects.passes == 1
+    b.objects[Ref(99, 0)] = None
+    assert b.add(0).num == 100
+
+
+def test_aes_of_many_blocks_and_of_few():
+    key = bytes.fromhex("000102030405060708090a0b0c0d0e0f")
+    assert crypto.Aes(key).encrypt_block(bytes.fromhex("00112233445566778899aabbccddeeff")).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    for k in (16, 32):
+        for n in (0, 1, crypto.MANY_BLOCKS - 1, crypto.MANY_BLOCKS, 100):
+            data = bytes(x * 7 & 255 for x in range(16 * n))
+            assert crypto.cbc_decrypt(bytes(range(k)), key, crypto.cbc_encrypt(bytes(range(k)), key, data)) == data
