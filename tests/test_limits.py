@@ -46,3 +46,10 @@ def test_aes_of_many_blocks_and_of_few():
         for n in (0, 1, crypto.MANY_BLOCKS - 1, crypto.MANY_BLOCKS, 100):
             data = bytes(x * 7 & 255 for x in range(16 * n))
             assert crypto.cbc_decrypt(bytes(range(k)), key, crypto.cbc_encrypt(bytes(range(k)), key, data)) == data
+
+
+def test_lzw_takes_many_codes_at_once(monkeypatch):
+    calls, codes = [], filters._codes
+    monkeypatch.setattr(filters, "_codes", lambda *a: calls.append(a) or codes(*a))
+    data = bytes(k * k & 255 for k in range(20_000))
+    assert filters.lzw(file_queries.lzw_encoded(data)) == data and len(calls) < 200
