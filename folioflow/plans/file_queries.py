@@ -40,7 +40,7 @@ def _digests(rows: DataFrame, back: Callable[[bytes], dict[str, bytes]], names:
     """doc_id and a digest for each name; back gives the bytes by name from those of the text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, pdf.AT_ONCE) for b in batches for k in range(0, b.num_rows, pdf.AT_ONCE)):
             ids, texts = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("doc_id", "text"))
             found = [back((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             digests = [pa.array([hashlib.sha256(f[n]).hexdigest() for f in found], pa.string()) for n in names]

@@ -11,6 +11,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,16 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return files.withColumnRenamed("path", "doc_id")
 
 
-def parse(files: DataFrame, outputs: list[str], password: str | None = None) -> DataFrame:
-    """doc_id, version, object_count, page_count, error and the asked nested columns for each row of files (doc_id, content)."""
+#: Rows that are made or parsed at a time.
+AT_ONCE = 64
+
+
+def parse(files: DataFrame, outputs: list[str], password: str | Callable[[object], str] | None = None) -> DataFrame:
+    """doc_id, version, object_count, page_count, error and the asked nested columns for each row of files (doc_id, content).
+
+    password may be a function of the doc_id. Files that come straight from built() are made in the same Python stage, so no content is moved.
+    """
+    rows, make = getattr(files, "made", (files.select("doc_id", "content"), None))
     kind = files.schema["doc_id"].dataType.simpleString()
     columns = ", ".join(f"{c} {OUTPUTS[c][0]}" for c in outputs)
     schema = f"doc_id {kind}, version string, object_count int, page_count int, error struct<kind: string, message: string>" + (f", {columns}" if columns else "")
@@ -158,15 +167,15 @@ def filter_roundtrips(docs: DataFrame) -> DataFrame:
         import zlib
 
         whole = data[: len(data) // 8 * 8]
-        rows = b"".join(b"\2" + bytes((a - b) & 255 for a, b in zip(whole[k : k + 8], whole[k - 8 : k] if k else bytes(8), strict=True)) for k in range(0, len(whole), 8))
+        grid = np.frombuffer(whole, np.uint8).reshape(-1, 8)
+        rows = np.insert(np.diff(grid, axis=0, prepend=np.zeros((1, 8), np.uint8)), 0, 2, axis=1).tobytes()
         return [
             filters.decode(filters.encode_flate(data)) == data, back(data, "AHx", filters.encode_ascii_hex(data)), back(data, "A85", filters.encode_ascii_85(data)), back(data, "RL", filters.encode_run_length(data)),
             back(whole, "Fl", zlib.compress(rows), {"Predictor": 12, "Columns": 8}),
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = batch.to_pydict()
+        for part in (b.slice(k, AT_ONCE).to_pydict() for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             raw = [t.encode("utf-8", "surrogatepass") for t in part["text"]]
             checks = [check(b) for b in raw]
             cols = [part["doc_id"], [hashlib.sha256(b).hexdigest() for b in raw], [len(b) for b in raw], *[[c[k] for c in checks] for k in range(len(columns))]]

@@ -53,3 +53,15 @@ def test_lzw_takes_many_codes_at_once(monkeypatch):
     monkeypatch.setattr(filters, "_codes", lambda *a: calls.append(a) or codes(*a))
     data = bytes(k * k & 255 for k in range(20_000))
     assert filters.lzw(file_queries.lzw_encoded(data)) == data and len(calls) < 200
+
+
+def test_filters_are_checked_a_few_rows_at_a_time():
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run([pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": ["a\0b" * k for k in range(200)]})]))
+
+    out = pdf.filter_roundtrips(Rows())
+    assert [b.num_rows for b in out] == [64, 64, 64, 8] and all(all(r[c] for c in ("flate", "hex", "a85", "run_length", "predictor")) for b in out for r in b.to_pylist())
