@@ -74,7 +74,7 @@ def parse(files: DataFrame, outputs: list[str], password: str | Callable[[object
     def row(doc_id, data: bytes | None) -> dict:
         out = dict.fromkeys(target.names) | {"doc_id": doc_id}
         try:
-            d = Document(data or b"", password)
+            d = Document(data or b"", password(doc_id) if callable(password) else password)
             out |= {"version": d.version, "object_count": len(d.objects), "page_count": _or_none(lambda: d.page_count)}
             for c in outputs:
                 out[c] = OUTPUTS[c][1](d)
@@ -86,12 +86,12 @@ def parse(files: DataFrame, outputs: list[str], password: str | Callable[[object
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64).to_pydict()
-                rows = [row(i, c) for i, c in zip(part["doc_id"], part["content"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in target], schema=target)
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE).to_pylist()
+                out = [row(r["doc_id"], make(r) if make else r["content"]) for r in part]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in target], schema=target)
 
-    return files.select("doc_id", "content").mapInArrow(run, parsed)
+    return rows.mapInArrow(run, parsed)
 
 
 def parse_errors(parsed: DataFrame) -> DataFrame:
@@ -128,11 +128,13 @@ def built(rows: DataFrame, make: Callable[[dict], bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64).to_pylist()
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in part], schema.field(0).type), pa.array([make(r) for r in part], pa.binary())], schema=schema)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, content binary")
+    out = rows.mapInArrow(run, f"doc_id {kind}, content binary")
+    out.made = rows, make
+    return out
 
 
 def text_documents(docs: DataFrame) -> DataFrame:

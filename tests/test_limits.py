@@ -48,6 +48,15 @@ def test_aes_of_many_blocks_and_of_few():
             assert crypto.cbc_decrypt(bytes(range(k)), key, crypto.cbc_encrypt(bytes(range(k)), key, data)) == data
 
 
+def test_files_are_made_and_parsed_in_one_stage(spark):
+    files = pdf.built(spark.range(3).withColumnRenamed("id", "doc_id"), lambda r: writer.text_document(f"text {r['doc_id']}"))
+    parsed = pdf.document_text(pdf.parse(files, ["pages"]))
+    assert parsed._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    # what was changed in between is parsed as it is
+    again = pdf.document_text(pdf.parse(files.where("doc_id > 0"), ["pages"]))
+    assert sorted(map(tuple, parsed.collect())) == [(0, "text 0"), (1, "text 1"), (2, "text 2")] and again.count() == 2
+
+
 def test_lzw_takes_many_codes_at_once(monkeypatch):
     calls, codes = [], filters._codes
     monkeypatch.setattr(filters, "_codes", lambda *a: calls.append(a) or codes(*a))
