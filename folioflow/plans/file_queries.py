@@ -122,12 +122,7 @@ def _sealed(row: dict) -> bytes:
 @query("SELECT doc_id, 'Document ' || doc_id AS by_user, TRUE AS refused FROM documents")
 def pdf_passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RC4 and AES files opened by the user's password, and not by a wrong one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    out = None
-    for k in range(5):
-        files = pdf.built(docs.where(F.col("doc_id") % 5 == k), _sealed)
-        title = lambda password, name: pdf.parse(files, ["metadata"], password).select("doc_id", F.col("metadata.title").alias(name), F.col("error.kind").alias(f"{name}_error"))  # noqa: B023, E731
-        opened = title(f"u{k}", "by_user").join(title("wrong", "by_none"), "doc_id")
-        opened = opened.select("doc_id", "by_user", (F.col("by_none").isNull() & F.col("by_none_error").isNotNull()).alias("refused"))
-        out = opened if out is None else out.union(opened)
-    return out
+    files = pdf.built(table(spark, sf_dir, "documents").select("doc_id").where("doc_id is not null"), _sealed)
+    parsed = lambda password, name: pdf.parse(files, ["metadata"], password).select("doc_id", F.col("metadata.title").alias(name), F.col("error.kind").alias(f"{name}_error"))
+    opened = parsed(lambda doc_id: f"u{doc_id % 5}", "by_user").join(parsed("wrong", "by_none"), "doc_id")
+    return opened.select("doc_id", "by_user", (F.col("by_none").isNull() & F.col("by_none_error").isNotNull()).alias("refused"))

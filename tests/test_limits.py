@@ -57,6 +57,11 @@ def test_files_are_made_and_parsed_in_one_stage(spark):
     assert sorted(map(tuple, parsed.collect())) == [(0, "text 0"), (1, "text 1"), (2, "text 2")] and again.count() == 2
 
 
+def test_passwords_read_their_rows_twice(spark):
+    plan = file_queries.pdf_passwords(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2
+
+
 def test_lzw_takes_many_codes_at_once(monkeypatch):
     calls, codes = [], filters._codes
     monkeypatch.setattr(filters, "_codes", lambda *a: calls.append(a) or codes(*a))
