@@ -7,6 +7,9 @@ S names) and print_boxes (array of booleans, one for each page). Checks are colu
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,19 @@ def checks_of(standard: str) -> list[str]:
     raise ValueError(f"one of {A_LEVELS + X_LEVELS}")
 
 
+def _all(passed: list[Column]) -> Column:
+    """Whether all that are known hold; null if none is known."""
+    return F.when(F.coalesce(*passed).isNotNull(), reduce(and_, [F.coalesce(c, F.lit(True)) for c in passed]))
+
+
+def report(features: DataFrame, standards: list[str]) -> DataFrame:
+    """doc_id, standard, compliant, total, passed_count: a row for each standard, from one pass over the features. Nothing is grouped or shuffled."""
+    cond = conditions()
+    passed = [[cond[k] for k in checks_of(s)] for s in standards]
+    rows = [F.struct(F.lit(s).alias("standard"), _all(p).alias("compliant"), F.lit(len(p)).cast("long").alias("total"), reduce(add, [F.coalesce(c, F.lit(False)).cast("long") for c in p]).alias("passed_count")) for s, p in zip(standards, passed, strict=True)]
+    return features.select("doc_id", F.explode(F.array(*rows)).alias("c")).select("doc_id", "c.*")
+
+
 def validate(features: DataFrame, standard: str) -> DataFrame:
     """doc_id, standard, id, passed: a row for each check of the standard."""
     cond = conditions()

@@ -101,7 +101,13 @@ FEATURE_SQL = """f AS (SELECT o_orderkey AS doc_id, o_orderstatus = 'F' AS encry
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    per = li.groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("lzw"), F.collect_list(F.struct(F.col("l_linestatus").alias("name"), (F.col("l_discount") < 0.09).alias("embedded"))).alias("fonts"), F.collect_list(F.col("l_tax") < 0.07).alias("print_boxes"))
+    # an order's lines as flags, which are grouped in place: an array of them would be sorted and held. What is embedded is one font, what isn't another
+    embedded, box = F.col("l_discount") < 0.09, F.col("l_tax") < 0.07
+    flags = {"embedded": embedded, "plain": ~embedded, "box": box, "no_box": ~box}
+    per = li.groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("lzw"), *[F.bool_or(c).alias(n) for n, c in flags.items()])
+    there = lambda of: F.filter(F.array(*[F.when(F.col(n), v) for n, v in of.items()]), lambda v: v.isNotNull())
+    fonts = there({n: F.struct(F.lit(n).alias("name"), F.lit(n == "embedded").alias("embedded")) for n in ("embedded", "plain")})
+    per = per.select("l_orderkey", "lzw", fonts.alias("fonts"), there({"box": F.lit(True), "no_box": F.lit(False)}).alias("print_boxes"))
     k = F.col("o_orderkey")
     none = F.array().cast("array<string>")
     j = o.join(per, k == F.col("l_orderkey"), "left")
@@ -119,7 +125,4 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT doc_id, 'X1a', [intents = 0, fonts, boxes, NOT encrypted, NOT transparent] FROM f UNION ALL SELECT doc_id, 'X4', [intents = 0, fonts, boxes, NOT encrypted] FROM f)
   SELECT doc_id, standard, NOT list_contains(p, false) AS compliant, CAST(len(p) AS BIGINT) AS total, CAST(len(list_filter(p, lambda x: x)) AS BIGINT) AS passed_count FROM a""")
 def standards_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
-    parts = [standards.validate(f, s) for s in ("A1b", "A2b", "X1a", "X4")]
-    checks = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return checks.groupBy("doc_id", "standard").agg(F.bool_and("passed").alias("compliant"), F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed_count"))
+    return standards.report(features(spark, sf_dir), ["A1b", "A2b", "X1a", "X4"])

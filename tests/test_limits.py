@@ -2,13 +2,16 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from folioflow.operators import layout
 from folioflow.pdf import crypto, filters, writer
 from folioflow.pdf.syntax import Ref
-from folioflow.plans import file_queries, ocr_queries
+from folioflow.plans import file_queries, load, ocr_queries
 from folioflow.sources import pdf
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = load()[0]
 
 
 def test_pixels_are_computed_in_single_precision(spark, tmp_path):
@@ -79,3 +82,8 @@ def test_filters_are_checked_a_few_rows_at_a_time():
 
     out = pdf.filter_roundtrips(Rows())
     assert [b.num_rows for b in out] == [64, 64, 64, 8] and all(all(r[c] for c in ("flate", "hex", "a85", "run_length", "predictor")) for b in out for r in b.to_pylist())
+
+
+def test_standards_are_reported_in_one_pass(spark):
+    plan = QUERIES["standards_report"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and "collect_list" not in plan
