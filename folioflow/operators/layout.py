@@ -7,6 +7,8 @@ group. Steps whose result depends on an anchor (lines, tables) are folds over a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,8 +167,12 @@ def field_labels(runs: DataFrame, fields: DataFrame, page: list[str] = PAGE, ord
     above_dist = F.col("y") - F.col("f_y")
     is_above = (F.col("y") > F.col("f_y")) & (F.abs(F.col("x") - F.col("f_x")) < F.col("f_width")) & (above_dist < F.col("height") * 3)
     dist = F.least(F.when(is_left, left_dist), F.when(is_above, above_dist))
-    near = f.join(r, page).withColumn("distance", dist).where("distance is not null")
-    best = near.groupBy(*page, "field_name").agg(F.min(F.struct("distance", F.col(order).alias("o"), "label")).alias("b"))
+    spans = [(middle - height * 1.5, middle + height * 1.5), (y - height * 3, y)]
+
+    def pairs(places: DataFrame) -> DataFrame:
+        return _banded(r, spans, places, [f_middle, f_y], page).withColumn("distance", dist).where("distance is not null")
+
+    best = _nearest(f, ["field_name"], pairs, ["o", "label"]).groupBy(*page, "field_name").agg(F.min("b").alias("b"))
     return best.select(*page, "field_name", "b.label", "b.distance")
 
 
@@ -174,8 +180,49 @@ def figure_captions(lined: DataFrame, images: DataFrame, stats: DataFrame, page:
     """The nearest caption line under or over an image, within two body sizes and overlapping in x."""
     i = images.select(*page, "image_name", *[F.col(c).alias(f"i_{c}") for c in ("x", "y", "width", "height")]).join(stats.select(*page, "body_size"), page)
     text = strip(F.array_join(F.transform("runs", lambda r: r["text"]), " "))
-    c = lined.withColumn("caption", text).where(is_caption(F.col("caption"))).select(*page, "line_no", "caption", F.col("y").alias("caption_y"), "min_x", "max_x")
-    dist = F.least(F.abs(F.col("i_y") - F.col("caption_y")), F.abs(F.col("caption_y") - (F.col("i_y") + F.col("i_height"))))
-    near = i.join(c, page).withColumn("distance", dist).where((F.col("distance") < F.col("body_size") * 2) & (F.col("min_x") < F.col("i_x") + F.col("i_width")) & (F.col("max_x") > F.col("i_x")))
-    best = near.groupBy(*page, "image_name").agg(F.min(F.struct("distance", "line_no", "caption", "caption_y")).alias("b"))
+    c = lined.withColumn("caption", text).where(is_caption(F.col("caption"))).groupBy(*page, F.col("y").alias("caption_y"), "min_x", "max_x").agg(F.min(F.struct("line_no", "caption")).alias("__c"))
+    c = c.select(*page, "caption_y", "min_x", "max_x", "__c.line_no", "__c.caption")
+    y, top, body, caption_y = F.col("i_y"), F.col("i_y") + F.col("i_height"), F.col("body_size"), F.col("caption_y")
+    dist = F.least(F.abs(y - caption_y), F.abs(caption_y - top))
+    near = (F.col("distance") < body * 2) & (F.col("min_x") < F.col("i_x") + F.col("i_width")) & (F.col("max_x") > F.col("i_x"))
+
+    def pairs(places: DataFrame) -> DataFrame:
+        return _banded(places, [(y - body * 2, y + body * 2), (top - body * 2, top + body * 2)], c, [caption_y, caption_y], page).withColumn("distance", dist).where(near)
+
+    best = _nearest(i, ["image_name"], pairs, ["line_no", "caption", "caption_y"]).groupBy(*page, "image_name").agg(F.min("b").alias("b"))
     return best.select(*page, "image_name", "b.caption", "b.caption_y")
+def _banded(owners: DataFrame, spans: list[tuple[Column, Column]], points: DataFrame, places: list[Column], page: list[str]) -> DataFrame:
+    """Owners with the points of their page that may lie in a span of theirs: for each k the place places[k] of a point from the low to the high
+    end of spans[k]. All such pairs are there, and few others.
+
+    An axis is cut in bands, as high as the power of two from a span's length on: a span lies in two or three, a place in one for each of the
+    heights that its page has. What has no finite span shares one band with all.
+    """
+    lo, hi = F.col("__s.lo"), F.col("__s.hi")
+    o = owners.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), a.cast("double").alias("lo"), b.cast("double").alias("hi")) for k, (a, b) in enumerate(spans)]))).where(lo <= hi)
+    size = F.greatest(hi - lo, F.abs(lo) * 1e-6, F.abs(hi) * 1e-6, F.lit(1e-3))
+    finite = size < 1e300
+    unit = F.pow(F.lit(2.0), F.col("__level"))
+    o = o.withColumn("__kind", F.col("__s.kind")).withColumn("__level", F.when(finite, F.ceil(F.log2(size)).cast("int")).otherwise(9999))
+    # wider than rounding can move an end
+    bands = F.sequence(F.floor(lo / unit - 1e-5), F.floor(hi / unit + 1e-5))
+    o = o.withColumn("__band", F.explode(F.when(F.col("__level") < 9999, bands).otherwise(F.array(F.lit(0).cast("long"))))).drop("__s")
+    p = points.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), a.cast("double").alias("at")) for k, a in enumerate(places)]))).withColumn("__kind", F.col("__s.kind"))
+    p = p.join(o.select(*page, "__kind", "__level").distinct(), [*page, "__kind"])
+    p = p.withColumn("__band", F.when(F.col("__level") < 9999, F.floor(F.col("__s.at") / unit)).otherwise(F.lit(0).cast("long"))).drop("__s")
+    return o.join(p, [*page, "__kind", "__level", "__band"]).drop("__kind", "__level", "__band")
+
+
+def _nearest(of: DataFrame, named: list[str], pairs: Callable[[DataFrame], DataFrame], ties: list[str]) -> DataFrame:
+    """of with b, the pair of least distance, then of least ties: places that occur several times are looked at once.
+
+    named are the columns of `of` besides its place; pairs gives pairs with distance for a table of places. The least distance is found first,
+    as a number, so that only pairs that have it are held with their texts.
+    """
+    place = [c for c in of.columns if c not in named]
+    places = of.select(*place).distinct()
+    least = pairs(places).groupBy(*place).agg(F.min("distance").alias("__least"))
+    found = pairs(least).where("distance <= __least").groupBy(*place).agg(F.min(F.struct("distance", *ties)).alias("b"))
+    return of.join(found, place)
+
+

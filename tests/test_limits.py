@@ -84,6 +84,29 @@ def test_filters_are_checked_a_few_rows_at_a_time():
     assert [b.num_rows for b in out] == [64, 64, 64, 8] and all(all(r[c] for c in ("flate", "hex", "a85", "run_length", "predictor")) for b in out for r in b.to_pylist())
 
 
+def test_labels_of_crowded_pages(spark):
+    rng = np.random.default_rng(1)
+    number = lambda n, top: [float(v) for v in rng.integers(0, top, n)]
+    n = 400
+    runs = list(zip(["d"] * n, [0] * n, range(n), [f"t{k}" for k in range(n)], number(n, 500), number(n, 700), number(n, 40), [float(v) for v in rng.choice([0.5, 8, 10, 30], n)], strict=True))
+    fields = list(zip(["d"] * n, [0] * n, [f"f{k // 2}" for k in range(n)], number(n, 500), number(n, 700), number(n, 100), number(n, 30), strict=True))
+    place = "x double, y double, width double, height double"
+    r, f = spark.createDataFrame(runs, f"doc_id string, page_index int, run_index int, text string, {place}"), spark.createDataFrame(fields, f"doc_id string, page_index int, field_name string, {place}")
+    expected: dict = {}
+    for _, _, name, fx, fy, fw, fh in fields:
+        for _, _, o, t, x, y, w, h in runs:
+            left = fx - x - w if abs(y + h / 2 - fy - fh / 2) < h * 1.5 and x + w < fx + 5 and fx - x - w >= 0 else None
+            above = y - fy if y > fy and abs(x - fx) < fw and y - fy < h * 3 else None
+            for d in (left, above):
+                if d is not None:
+                    expected[name] = min(expected.get(name, (d, o, t)), (d, o, t))
+    got = {x["field_name"]: (x["distance"], x["label"]) for x in layout.field_labels(r, f).collect()}
+    assert got == {k: (d, t) for k, (d, _, t) in expected.items()} and len(got) > 100
+    spans = [(F.col("y") - F.col("height") * 3, F.col("y"))]
+    pairs = layout._banded(r, spans, f.select("doc_id", "page_index", F.col("y").alias("f_y")), [F.col("f_y")], layout.PAGE).count()
+    assert pairs < n * n / 6
+
+
 def test_standards_are_reported_in_one_pass(spark):
     plan = QUERIES["standards_report"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2 and "collect_list" not in plan
