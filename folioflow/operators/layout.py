@@ -25,14 +25,31 @@ MARGIN = 0.1
 
 def anchored(values: Column, tolerance: float) -> Column:
     """For an array of falling numbers the group of each, from 1: a group goes on while values are within tolerance of its first one."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("no"), *_numbers())
 
     def step(acc: Column, v: Column) -> Column:
         same = acc["anchor"].isNotNull() & (F.abs(acc["anchor"] - v) <= tolerance)
         no = F.when(same, acc["no"]).otherwise(acc["no"] + 1)
-        return F.struct(F.when(same, acc["anchor"]).otherwise(v).alias("anchor"), no.alias("no"), F.array_append(acc["out"], no).alias("out"))
+        return F.struct(F.when(same, acc["anchor"]).otherwise(v).alias("anchor"), no.alias("no"), *_numbers(acc, no))
 
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+    return F.aggregate(values, start, step, _all_numbers)
+
+
+#: Numbers in one piece of a fold's result. An array is copied for each number that is added, so a long one grows by pieces.
+PIECE = 128
+
+
+def _numbers(acc: Column | None = None, no: Column | None = None) -> list[Column]:
+    """Two fields of a fold's state, the whole pieces and the last one: empty, or those of acc and one number more."""
+    if acc is None:
+        return [F.array().cast("array<array<int>>").alias("whole"), F.array().cast("array<int>").alias("piece")]
+    full = F.size(acc["piece"]) >= PIECE
+    piece = F.when(full, F.array(no)).otherwise(F.array_append(acc["piece"], no))
+    return [F.when(full, F.array_append(acc["whole"], acc["piece"])).otherwise(acc["whole"]).alias("whole"), piece.alias("piece")]
+
+
+def _all_numbers(acc: Column) -> Column:
+    return F.flatten(F.array_append(acc["whole"], acc["piece"]))
 
 
 def _pages(runs: DataFrame, page: list[str], order: str, tolerance: float = LINE_TOLERANCE) -> DataFrame:
@@ -77,22 +94,33 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
 
 
+def most_frequent(values: Column, kind: str) -> Column:
+    """The most frequent element of an array of a type, of several the least: one pass over the sorted array, however many differ."""
+    none = F.lit(None).cast(kind)
+    start = F.struct(none.alias("now"), F.lit(0).alias("n"), none.alias("best"), F.lit(0).alias("most"))
+
+    def step(acc: Column, v: Column) -> Column:
+        n = F.when((acc["n"] > 0) & acc["now"].eqNullSafe(v), acc["n"] + 1).otherwise(1)
+        more = n > acc["most"]
+        return F.struct(v.alias("now"), n.alias("n"), F.when(more, v).otherwise(acc["best"]).alias("best"), F.greatest(n, acc["most"]).alias("most"))
+
+    return F.aggregate(F.sort_array(values), start, step, lambda acc: acc["best"])
+
+
 STATS = ["body_size", "body_font", "body_bold", "median_spacing"]
 
 
 def _with_stats(pages: DataFrame) -> DataFrame:
     """_pages with the font statistics of each, from its array of runs: a page is read once, and nothing is joined."""
     doubled = lambda r: F.greatest(F.round(r["r"]["font_size"] * 2), F.lit(0.0))
-    # the most frequent first: the least of (minus count, value)
-    most = lambda values: F.array_min(F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda x: x.eqNullSafe(v)))).alias("less"), v.alias("value"))))
-    pages = pages.withColumn("__size", most(F.transform("rs", doubled)))
-    pages = pages.withColumn("__body", F.filter("rs", lambda r: doubled(r).eqNullSafe(F.col("__size.value"))))
+    pages = pages.withColumn("__size", most_frequent(F.transform("rs", doubled), "double"))
+    pages = pages.withColumn("__body", F.filter("rs", lambda r: doubled(r).eqNullSafe(F.col("__size"))))
     bold = F.size(F.filter("__body", lambda r: r["r"]["is_bold"]))
     starts = F.filter(F.transform("rs", lambda r, i: F.when((i == 0) | (F.get("nos", i) != F.get("nos", i - 1)), -r["__down"])), lambda y: y.isNotNull())
-    pages = pages.withColumn("__ys", F.sort_array(starts, asc=False)).withColumn("body_size", F.col("__size.value") / 2)
+    pages = pages.withColumn("__ys", F.sort_array(starts, asc=False)).withColumn("body_size", F.col("__size") / 2)
     gaps = F.zip_with(F.slice("__ys", F.lit(1), F.greatest(F.size("__ys") - 1, F.lit(0))), F.slice("__ys", F.lit(2), F.size("__ys")), lambda a, b: F.abs(a - b))
     spacing = upper_median(F.filter(gaps, lambda g: (g > 0.1) & (g < F.col("body_size") * 5)))
-    pages = pages.withColumn("body_font", most(F.transform("__body", lambda r: r["r"]["font_name"]))["value"]).withColumn("body_bold", bold > F.floor(F.size("__body") / 2))
+    pages = pages.withColumn("body_font", most_frequent(F.transform("__body", lambda r: r["r"]["font_name"]), "string")).withColumn("body_bold", bold > F.floor(F.size("__body") / 2))
     return pages.withColumn("median_spacing", F.coalesce(spacing, F.col("body_size") * 1.2)).drop("__size", "__body", "__ys")
 
 
@@ -126,15 +154,15 @@ def classify(joined: DataFrame, page: list[str] = PAGE) -> DataFrame:
 def tables(blocks_: DataFrame, page: list[str] = PAGE) -> DataFrame:
     """A row for each table: neighbouring paragraphs whose runs start at the x positions of the first one's, two or more of each."""
     rows = blocks_.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("block_no", F.col("role").alias("role"), F.transform("runs", lambda r: r["x"]).alias("xs"), "bbox"))).alias("bs"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(False).alias("open"), F.array().cast("array<double>").alias("xs"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("no"), F.lit(False).alias("open"), F.array().cast("array<double>").alias("xs"), *_numbers())
 
     def step(acc: Column, b: Column) -> Column:
         able = (b["role"] == "Paragraph") & (F.size(b["xs"]) >= 2)
         fits = acc["open"] & able & (F.size(acc["xs"]) == F.size(b["xs"])) & F.forall(F.zip_with(acc["xs"], b["xs"], lambda p, q: F.abs(p - q) < COLUMN_TOLERANCE), lambda z: z)
         no = F.when(fits, acc["no"]).otherwise(acc["no"] + 1)
-        return F.struct(no.alias("no"), able.alias("open"), F.when(fits, acc["xs"]).otherwise(b["xs"]).alias("xs"), F.array_append(acc["out"], F.when(able, no)).alias("out"))
+        return F.struct(no.alias("no"), able.alias("open"), F.when(fits, acc["xs"]).otherwise(b["xs"]).alias("xs"), *_numbers(acc, F.when(able, no)))
 
-    rows = rows.withColumn("nos", F.aggregate("bs", start, step, lambda acc: acc["out"]))
+    rows = rows.withColumn("nos", F.aggregate("bs", start, step, _all_numbers))
     each = rows.select(*page, F.explode(F.arrays_zip(F.col("bs"), F.col("nos").alias("no"))).alias("z")).where("z.no is not null")
     out = each.groupBy(*page, F.col("z.no").alias("group")).agg(
         F.min("z.bs.block_no").alias("first_block"), F.count(F.lit(1)).alias("n_rows"), F.min_by(F.col("z.bs.xs"), F.col("z.bs.block_no")).alias("column_xs"),
@@ -157,40 +185,6 @@ def headers_footers(lined: DataFrame, page_height: Column | float, doc: str = "d
     return out.where("n >= 2").join(several, doc, "left_semi")
 
 
-def field_labels(runs: DataFrame, fields: DataFrame, page: list[str] = PAGE, order: str = "run_index") -> DataFrame:
-    """The nearest text left of a field, on its line, or right above it. fields: page, field_name, x, y, width, height. Fields without one go."""
-    f = fields.select(*page, "field_name", *[F.col(c).alias(f"f_{c}") for c in ("x", "y", "width", "height")])
-    r = runs.withColumn("label", strip(F.col("text"))).where("label <> ''")
-    right = F.col("x") + F.col("width")
-    left_dist = F.col("f_x") - right
-    is_left = (F.abs(F.col("y") + F.col("height") / 2 - (F.col("f_y") + F.col("f_height") / 2)) < F.col("height") * 1.5) & (right < F.col("f_x") + 5) & (left_dist >= 0)
-    above_dist = F.col("y") - F.col("f_y")
-    is_above = (F.col("y") > F.col("f_y")) & (F.abs(F.col("x") - F.col("f_x")) < F.col("f_width")) & (above_dist < F.col("height") * 3)
-    dist = F.least(F.when(is_left, left_dist), F.when(is_above, above_dist))
-    spans = [(middle - height * 1.5, middle + height * 1.5), (y - height * 3, y)]
-
-    def pairs(places: DataFrame) -> DataFrame:
-        return _banded(r, spans, places, [f_middle, f_y], page).withColumn("distance", dist).where("distance is not null")
-
-    best = _nearest(f, ["field_name"], pairs, ["o", "label"]).groupBy(*page, "field_name").agg(F.min("b").alias("b"))
-    return best.select(*page, "field_name", "b.label", "b.distance")
-
-
-def figure_captions(lined: DataFrame, images: DataFrame, stats: DataFrame, page: list[str] = PAGE) -> DataFrame:
-    """The nearest caption line under or over an image, within two body sizes and overlapping in x."""
-    i = images.select(*page, "image_name", *[F.col(c).alias(f"i_{c}") for c in ("x", "y", "width", "height")]).join(stats.select(*page, "body_size"), page)
-    text = strip(F.array_join(F.transform("runs", lambda r: r["text"]), " "))
-    c = lined.withColumn("caption", text).where(is_caption(F.col("caption"))).groupBy(*page, F.col("y").alias("caption_y"), "min_x", "max_x").agg(F.min(F.struct("line_no", "caption")).alias("__c"))
-    c = c.select(*page, "caption_y", "min_x", "max_x", "__c.line_no", "__c.caption")
-    y, top, body, caption_y = F.col("i_y"), F.col("i_y") + F.col("i_height"), F.col("body_size"), F.col("caption_y")
-    dist = F.least(F.abs(y - caption_y), F.abs(caption_y - top))
-    near = (F.col("distance") < body * 2) & (F.col("min_x") < F.col("i_x") + F.col("i_width")) & (F.col("max_x") > F.col("i_x"))
-
-    def pairs(places: DataFrame) -> DataFrame:
-        return _banded(places, [(y - body * 2, y + body * 2), (top - body * 2, top + body * 2)], c, [caption_y, caption_y], page).withColumn("distance", dist).where(near)
-
-    best = _nearest(i, ["image_name"], pairs, ["line_no", "caption", "caption_y"]).groupBy(*page, "image_name").agg(F.min("b").alias("b"))
-    return best.select(*page, "image_name", "b.caption", "b.caption_y")
 def _banded(owners: DataFrame, spans: list[tuple[Column, Column]], points: DataFrame, places: list[Column], page: list[str]) -> DataFrame:
     """Owners with the points of their page that may lie in a span of theirs: for each k the place places[k] of a point from the low to the high
     end of spans[k]. All such pairs are there, and few others.
@@ -226,3 +220,40 @@ def _nearest(of: DataFrame, named: list[str], pairs: Callable[[DataFrame], DataF
     return of.join(found, place)
 
 
+def field_labels(runs: DataFrame, fields: DataFrame, page: list[str] = PAGE, order: str = "run_index") -> DataFrame:
+    """The nearest text left of a field, on its line, or right above it. fields: page, field_name, x, y, width, height. Fields without one go."""
+    f = fields.select(*page, "field_name", *[F.col(c).alias(f"f_{c}") for c in ("x", "y", "width", "height")])
+    # of runs at one place the first
+    r = runs.withColumn("label", strip(F.col("text"))).where("label <> ''").groupBy(*page, "x", "y", "width", "height").agg(F.min(F.struct(F.col(order).alias("o"), "label")).alias("__r"))
+    r = r.select(*page, "x", "y", "width", "height", "__r.o", "__r.label")
+    x, y, width, height, f_x, f_y, f_width, f_height = (F.col(c) for c in ("x", "y", "width", "height", "f_x", "f_y", "f_width", "f_height"))
+    right, middle, f_middle = x + width, y + height / 2, f_y + f_height / 2
+    left_dist = f_x - right
+    is_left = (F.abs(middle - f_middle) < height * 1.5) & (right < f_x + 5) & (left_dist >= 0)
+    above_dist = y - f_y
+    is_above = (y > f_y) & (F.abs(x - f_x) < f_width) & (above_dist < height * 3)
+    dist = F.least(F.when(is_left, left_dist), F.when(is_above, above_dist))
+    spans = [(middle - height * 1.5, middle + height * 1.5), (y - height * 3, y)]
+
+    def pairs(places: DataFrame) -> DataFrame:
+        return _banded(r, spans, places, [f_middle, f_y], page).withColumn("distance", dist).where("distance is not null")
+
+    best = _nearest(f, ["field_name"], pairs, ["o", "label"]).groupBy(*page, "field_name").agg(F.min("b").alias("b"))
+    return best.select(*page, "field_name", "b.label", "b.distance")
+
+
+def figure_captions(lined: DataFrame, images: DataFrame, stats: DataFrame, page: list[str] = PAGE) -> DataFrame:
+    """The nearest caption line under or over an image, within two body sizes and overlapping in x."""
+    i = images.select(*page, "image_name", *[F.col(c).alias(f"i_{c}") for c in ("x", "y", "width", "height")]).join(stats.select(*page, "body_size"), page)
+    text = strip(F.array_join(F.transform("runs", lambda r: r["text"]), " "))
+    c = lined.withColumn("caption", text).where(is_caption(F.col("caption"))).groupBy(*page, F.col("y").alias("caption_y"), "min_x", "max_x").agg(F.min(F.struct("line_no", "caption")).alias("__c"))
+    c = c.select(*page, "caption_y", "min_x", "max_x", "__c.line_no", "__c.caption")
+    y, top, body, caption_y = F.col("i_y"), F.col("i_y") + F.col("i_height"), F.col("body_size"), F.col("caption_y")
+    dist = F.least(F.abs(y - caption_y), F.abs(caption_y - top))
+    near = (F.col("distance") < body * 2) & (F.col("min_x") < F.col("i_x") + F.col("i_width")) & (F.col("max_x") > F.col("i_x"))
+
+    def pairs(places: DataFrame) -> DataFrame:
+        return _banded(places, [(y - body * 2, y + body * 2), (top - body * 2, top + body * 2)], c, [caption_y, caption_y], page).withColumn("distance", dist).where(near)
+
+    best = _nearest(i, ["image_name"], pairs, ["line_no", "caption", "caption_y"]).groupBy(*page, "image_name").agg(F.min("b").alias("b"))
+    return best.select(*page, "image_name", "b.caption", "b.caption_y")

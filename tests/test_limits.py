@@ -107,6 +107,14 @@ def test_labels_of_crowded_pages(spark):
     assert pairs < n * n / 6
 
 
+def test_long_pages_are_folded_in_pieces(spark):
+    n = 3 * layout.PIECE + 1
+    got = spark.range(1).select(layout.anchored(F.expr(f"transform(sequence(0, {n - 1}), k -> -1.0D * k)"), 2.0).alias("v")).first()["v"]
+    assert got == [k // 3 + 1 for k in range(n)]
+    most = lambda *v: spark.createDataFrame([(list(v),)], "v array<string>").select(layout.most_frequent(F.col("v"), "string")).first()[0]
+    assert (most("b", "a", "b", "a", "c"), most(None, "a", None), most("a", None), most()) == ("a", None, None, None)
+
+
 def test_standards_are_reported_in_one_pass(spark):
     plan = QUERIES["standards_report"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2 and "collect_list" not in plan
