@@ -1,7 +1,13 @@
-"""String functions over Columns. All are expressions, so they stay in generated code and can be folded and pushed down."""
+"""String functions over Columns. All are expressions, so they stay in generated code and can be folded and pushed down.
+
+A few rules are there for single values too, for stages that run in Python from file to result.
+"""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +26,9 @@ PDFDOC_HIGH = "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁ
 PDFDOC_EURO = "€"
 
 SPACE = r"(?U)\s+"
+#: What (?U)\s stands for.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARKER = re.compile(rf"[{re.escape(BULLETS)}]|\((?:[0-9]{{1,4}}|[A-Za-z]|(?ai:{ROMAN}))\)|(?:[0-9]+|[a-z]|{ROMAN})[.):]")
 
 
 def strip(c: Column) -> Column:
@@ -69,6 +78,18 @@ def font_style(name: Column) -> Column:
     return F.struct(has(BOLD_NAMES).alias("bold"), has(ITALIC_NAMES).alias("italic"), has(MONO_NAMES).alias("monospaced"))
 
 
+def starts_list(text: str) -> bool:
+    """Whether list_marker finds a marker, for one text of a Python stage."""
+    return _MARKER.match(text.lstrip(WHITE)) is not None
+
+
+@lru_cache(maxsize=4096)
+def style_of(name: str | None) -> tuple[bool, bool, bool]:
+    """(bold, italic, monospaced) as font_style has them, for one name of a Python stage."""
+    low = re.sub(r"^[A-Z]{0,6}\+", "", name or "").lower()
+    return tuple(any(p in low for p in parts) for parts in (BOLD_NAMES, ITALIC_NAMES, MONO_NAMES))
+
+
 def inline_role(bold: Column, italic: Column, mono: Column) -> Column:
     return F.when(mono, "Code").when(bold & italic, "StrongEmphasis").when(bold, "Strong").when(italic, "Emphasis").otherwise("Normal")
 
@@ -96,6 +117,11 @@ def block_standard_role(role: Column, level: Column) -> Column:
     )
 
 
+def standard_role_of(role: str, level: int | None) -> str | None:
+    """block_standard_role, for one block of a Python stage."""
+    return f"H{level}" if role == "Heading" else {"Paragraph": "P", "Code": "P", "ListItem": "LI", "TableCell": "TD"}.get(role)
+
+
 def decode_utf16be(b: Column) -> Column:
     """Text of UTF-16BE bytes; an odd last byte is left out, and a lone surrogate gives null instead of an error."""
     even = F.substring(b, F.lit(1), (F.floor(F.length(b) / 2) * 2).cast("int"))

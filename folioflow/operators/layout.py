@@ -7,13 +7,15 @@ group. Steps whose result depends on an anchor (lines, tables) are folds over a
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.functions.text import font_style, is_caption, list_marker, normalize_for_repeat, strip
+from folioflow.functions.text import font_style, is_caption, list_marker, normalize_for_repeat, starts_list, strip, style_of
 
 PAGE = ["doc_id", "page_index"]
 #: Runs whose y is so near to that of a line's first run are on that line.
@@ -151,6 +153,71 @@ def classify(joined: DataFrame, page: list[str] = PAGE) -> DataFrame:
     return rows.select(*page, F.col("line_no").alias("block_no"), "role", "level", F.col("min_x").alias("indent"), "bbox", "runs", "y")
 
 
+def _above(a: float, b: float) -> bool:
+    """a > b as Spark has it, with NaN above all numbers."""
+    return a > b or (a != a and b == b)
+
+
+def _rising(v: float) -> tuple[bool, float]:
+    return (True, 0.0) if v != v else (False, v)
+
+
+def _halves(size: float) -> float:
+    """A font size in half points, rounded half up, 0 at least."""
+    if size != size:
+        return math.nan  # one object, so that counting finds it equal
+    v = size * 2
+    return v if math.isinf(v) and v > 0 else 0.0 if v <= 0 else math.floor(v) + float(v - math.floor(v) >= 0.5)
+
+
+def page_blocks(runs: list[dict]) -> list[tuple[str, int | None, list[dict]]]:
+    """(role, level, runs by x) of the lines of one page, top first: what blocks() gives, for a stage that runs in Python from file to result.
+
+    runs are those of the page in their order, with text, font_name, font_size, x and y.
+    """
+    if not runs:
+        return []
+    found: list[list[dict]] = []
+    anchor = math.nan
+    for r in sorted(runs, key=lambda r: (*_rising(-r["y"]), *_rising(r["x"]))):
+        if abs(anchor - r["y"]) <= LINE_TOLERANCE:
+            found[-1].append(r)
+        else:
+            found.append([r])
+            anchor = r["y"]
+    ys = [rs[0]["y"] for rs in found]
+    # font statistics
+    halves = Counter(_halves(r["font_size"]) for r in runs)
+    size = min(halves, key=lambda h: (-halves[h], *_rising(h)))
+    body_size = size / 2
+    body = [r for r in runs if (h := _halves(r["font_size"])) is size or h == size]
+    names = Counter(r["font_name"] for r in body)
+    font = min(names, key=lambda f: (-names[f], f is not None, f or ""))
+    body_bold = sum(style_of(r["font_name"])[0] for r in body) > len(body) // 2
+    gaps = sorted(g for a, b in zip(ys, ys[1:], strict=False) if (g := abs(a - b)) > 0.1 and _above(body_size * 5, g))
+    far = (gaps[len(gaps) // 2] if gaps else body_size * 1.2) * HEADING_GAP
+    # roles
+    out: list[tuple[str, int | None, list[dict]]] = []
+    tops: list[int | None] = []
+    for k, rs in enumerate(found):
+        if len(rs) > 1:
+            rs = [r for _, r in sorted(enumerate(rs), key=lambda p: (*_rising(p[1]["x"]), p[1]["run_index"] if "run_index" in p[1] else p[0]))]
+        styles = [style_of(r["font_name"]) for r in rs]
+        top = max((r["font_size"] for r in rs), key=_rising)
+        top = top if _above(top, 0.0) else 0.0
+        heading = _above(top, body_size * HEADING_SIZE) or (any(s[0] for s in styles) and not body_bold and ((k > 0 and _above(abs(ys[k - 1] - ys[k]), far)) or _above(top, body_size)))
+        tops.append(min(math.floor(top * 10), 2**63 - 1) if heading and math.isfinite(top * 10) else (0 if top != top else 2**63 - 1) if heading else None)
+        if heading:
+            role = "Heading"
+        elif starts_list("".join(r["text"] for r in rs)):
+            role = "ListItem"
+        else:
+            role = "Code" if all(s[2] for s in styles) and not style_of(font)[2] else "Paragraph"
+        out.append((role, None, rs))
+    ranks = {t: min(k, 6) for k, t in enumerate(sorted({t for t in tops if t is not None}, reverse=True), 1)}
+    return [(role, ranks[t], rs) if t is not None else (role, None, rs) for (role, _, rs), t in zip(out, tops, strict=True)] if ranks else out
+
+
 def tables(blocks_: DataFrame, page: list[str] = PAGE) -> DataFrame:
     """A row for each table: neighbouring paragraphs whose runs start at the x positions of the first one's, two or more of each."""
     rows = blocks_.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("block_no", F.col("role").alias("role"), F.transform("runs", lambda r: r["x"]).alias("xs"), "bbox"))).alias("bs"))

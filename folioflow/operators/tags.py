@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.functions.text import block_standard_role
+from folioflow.functions.text import block_standard_role, standard_role_of
+from folioflow.operators import layout
 
 # Fixed values
 BLOCK_ROLES = ["Document", "Part", "Art", "Sect", "Div", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "P", "H", "L", "LI", "Lbl", "LBody", "Table", "TR", "TH", "TD", "THead", "TBody", "TFoot"]
@@ -124,6 +125,11 @@ def auto_tag(blocks: DataFrame, trees: DataFrame) -> DataFrame:
     return free.select("doc_id", F.row_number().over(order).alias("dfs_ord"), F.lit(0).alias("parent_ord"), F.lit(1).alias("depth"), kind.alias("struct_type"), text.alias("actual_text"))
 
 
+def elements_of(pages: list[list[dict]]) -> list[tuple[str, str]]:
+    """(type, text) of the elements that auto_tag makes of one document, from the runs of its pages."""
+    return [("Code" if role == "Code" else standard_role_of(role, level) or "P", " ".join(r["text"] for r in rs)) for runs in pages for role, level, rs in layout.page_blocks(runs)]
+
+
 def ocr_paragraphs(words: DataFrame, page: list[str], gap: int = 30) -> DataFrame:
     """words (page, word_index, text, x, y, width, height) with the number of each one's paragraph: a new one starts more than gap below the last word."""
     w = Window.partitionBy(*page).orderBy("word_index")

@@ -139,9 +139,11 @@ def pdf_edits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_auto_tag_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.sources import raster
 
-    elems, trees = pdf.struct_elements(pdf.parse(raster.auto_tagged(_files(spark, sf_dir)), ["tree"]))
-    counts = elems.groupBy("doc_id").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("struct_type") == "LI").alias("items"), (F.sum(F.octet_length("actual_text")) > 0).alias("has_text"))
-    return counts.join(trees.select("doc_id", F.col("tree_lang").alias("lang")), "doc_id")
+    parsed = pdf.parse(raster.auto_tagged(_files(spark, sf_dir)), ["tree"])
+    elems = F.col("tree.elements")
+    size = F.aggregate(elems, F.lit(0).cast("long"), lambda a, e: a + F.coalesce(F.octet_length(e["actual_text"]), F.lit(0)))
+    items = F.size(F.filter(elems, lambda e: e["struct_type"] == "LI"))
+    return parsed.where(F.size(elems) > 0).select("doc_id", F.size(elems).cast("long").alias("elements"), items.cast("long").alias("items"), (size > 0).alias("has_text"), F.col("tree.lang").alias("lang"))
 
 
 @query("""SELECT doc_id, standard, CASE standard WHEN 'A1b' THEN 8 WHEN 'A2b' THEN 7 ELSE 4 END AS total, false AS compliant,

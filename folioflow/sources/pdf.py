@@ -30,7 +30,7 @@ FEATURES = "encrypted: boolean, xmp: string, lzw: boolean, open_action_js: boole
 #: Nested columns by name: their type, and how a document gives them.
 OUTPUTS: dict[str, tuple[str, Callable[[Document], object]]] = {
     "pages": ("array<struct<page_index: int, media_box: array<double>, rotate: int, text: string>>", lambda d: [{"page_index": k, "media_box": d.media_box(p), "rotate": r if isinstance(r := d.inherited(p, "Rotate"), int) else 0, "text": _or_none(d.page_text, p)} for k, p in enumerate(d.pages())]),
-    "runs": (f"array<struct<page_index: int, run_index: int, {RUN}>>", lambda d: [{"page_index": k, "run_index": n} | r for k, p in enumerate(d.pages()) for n, r in enumerate(_or_none(d.runs, p) or [])]),
+    "runs": (f"array<struct<page_index: int, run_index: int, {RUN}>>", lambda d: [{"page_index": k, "run_index": n} | r for k, p in enumerate(d.pages()) for n, r in enumerate(runs_of_page(d, p))]),
     "metadata": (f"struct<{META}>", lambda d: d.metadata()),
     "outlines": ("array<struct<path: array<int>, depth: int, title: string, page: int, uri: string, action_type: string, color: array<double>, flags: int>>", lambda d: d.outlines()),
     "annotations": ("array<struct<page_index: int, subtype: string, rect: array<double>, contents: string, flags: int, color: array<double>, author: string, modified_date: string, uri: string, quad_points: array<double>>>", lambda d: [{"page_index": k} | a for k, p in enumerate(d.pages()) for a in d.annotations(p)]),
@@ -49,6 +49,11 @@ def _or_none(f, *args):
         return None
 
 
+def runs_of_page(d: Document, page: dict) -> list[dict]:
+    """The runs of a page; none of one whose content can't be read."""
+    return _or_none(d.runs, page) or []
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """doc_id (the path), modificationTime, length, content of the files under a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

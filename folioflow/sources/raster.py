@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.operators import layout, ocr
+from folioflow.operators import ocr, tags
 from folioflow.pdf import ocr_layer
 from folioflow.pdf.document import Document
 from folioflow.pdf.render import render_page
@@ -98,12 +98,17 @@ def hybrid_pages(files: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def auto_tagged(files: DataFrame, lang: str = "en-US") -> DataFrame:
-    """files with a structure tree from their blocks, where they have none; content streams stay as they are."""
-    from folioflow.operators import tags
+    """files with a structure tree from their blocks, where they have none; content streams stay as they are, and so do files that can't be parsed.
 
-    parsed = pdf.parse(files, ["runs", "tree"])
-    _, trees = pdf.struct_elements(parsed)
-    made = tags.auto_tag(layout.blocks(pdf.text_runs(parsed)), trees)
-    per = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dfs_ord", "struct_type", "actual_text"))).alias("kinds"))
-    joined = files.select("doc_id", "content").join(per, "doc_id", "left")
-    return pdf.built(joined, lambda row: ocr_layer.auto_tagged(bytes(row["content"]), [(k["struct_type"], k["actual_text"]) for k in row["kinds"] or []], lang))
+    A file is parsed once, and written, in one Python stage; files that come straight from pdf.built are made in it too.
+    """
+    rows, make = getattr(files, "made", (files.select("doc_id", "content"), lambda row: row["content"]))
+
+    def tagged(row: dict) -> bytes | None:
+        data = make(row)
+        try:
+            return ocr_layer.auto_tagged(bytes(data), lambda doc: tags.elements_of([pdf.runs_of_page(doc, p) for p in doc.pages()]), lang)
+        except Exception:  # a file may be broken in any way
+            return data
+
+    return pdf.built(rows, tagged)

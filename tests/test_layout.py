@@ -1,10 +1,13 @@
 """Layout operators on small pages."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import decode_utf16be, font_style, is_garbled, list_marker, normalize_for_repeat, normalize_whitespace, pdfdoc_decode, text_similarity
-from folioflow.operators import layout
+from folioflow.operators import layout, tags
 
 SCHEMA = "doc_id string, page_index int, run_index int, text string, font_name string, font_size double, x double, y double, width double, height double, is_bold boolean, is_italic boolean, is_monospaced boolean, rendering_mode int"
 
@@ -110,3 +113,28 @@ def test_text_functions(spark):
     assert one(spark, decode_utf16be(F.col("b")), b=bytearray("aé😀".encode("utf-16-be") + b"\0")) == "aé😀"
     assert one(spark, decode_utf16be(F.col("b")), b=bytearray(b"\xd8\x00\x00a")) is None
     assert one(spark, pdfdoc_decode(F.col("b")), b=bytearray(b"a\x80\xa0\xe9")) == "a•€é"
+
+
+def test_blocks_of_a_page_in_python_are_those_of_the_table(spark):
+    rnd = random.Random(3)
+    texts = ["plain", "• item", "(iv) x", "(\u0130) no", "1. one", "\xa0ix) y", "\x1c- no", "\u3000- yes", "12345) z", "(12345) no", "A. no"]
+    fonts = ["Helvetica", "ABC+Arial-BoldMT", "Courier", "abc+Mono", "CourierNew-Bold", ""]
+    rows = []
+    for page in range(120):
+        used, sizes = rnd.sample(fonts, rnd.randint(1, 4)), rnd.choices([8.0, 10.25, 10.2, 12.0, 14.4, 20.0, 1e19, 0.0, -3.0, math.nan, math.inf], k=rnd.randint(1, 4))
+        for n in range(rnd.randint(1, 25)):
+            y = rnd.choice([700.0 - 14 * rnd.randint(0, 20), 700 - rnd.random() * 60, rnd.choice([math.nan, math.inf, 5.0])])
+            rows.append((page // 3, page % 3, n, rnd.choice(texts), rnd.choice(used), rnd.choice(sizes), rnd.choice([72.0, 10.0, 300.0, math.nan]), y))
+    names = ["doc_id", "page_index", "run_index", "text", "font_name", "font_size", "x", "y"]
+    runs = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(names, ["int", "int", "int", "string", "string", "double", "double", "double"], strict=True)))
+    runs = runs.withColumn("width", F.lit(1.0)).withColumn("height", F.lit(1.0)).withColumn("s", font_style(F.col("font_name")))
+    runs = runs.select(*names, "width", "height", F.col("s.bold").alias("is_bold"), F.col("s.italic").alias("is_italic"), F.col("s.monospaced").alias("is_monospaced"))
+    found = layout.blocks(runs).select("doc_id", "page_index", "block_no", "role", "level", F.col("runs.run_index").alias("o")).collect()
+    own: dict = {}
+    for r in rows:
+        own.setdefault(r[:2], []).append(dict(zip(names, r, strict=True)))
+    made = {(*page, k, role, level, tuple(r["run_index"] for r in rs)) for page, own_ in own.items() for k, (role, level, rs) in enumerate(layout.page_blocks(own_), 1)}
+    assert {(*r[:5], tuple(r["o"])) for r in found} == made and {m[3] for m in made} == {"Heading", "ListItem", "Code", "Paragraph"}
+    trees = spark.createDataFrame([(0, False)], "doc_id int, has_tree boolean")
+    elems = sorted((r["doc_id"], r["dfs_ord"], r["struct_type"], r["actual_text"]) for r in tags.auto_tag(layout.blocks(runs), trees).collect())
+    assert elems == [(d, n, *e) for d in range(40) for n, e in enumerate(tags.elements_of([own[d, p] for p in range(3)]), 1)]

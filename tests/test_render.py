@@ -182,3 +182,15 @@ def test_auto_tagging_and_rendering_of_files(spark):
     r = raster.render_pages(files, dpi=36).first()
     assert (r["width"], r["height"]) == (306, 396) and len(r["pixels"]) == 306 * 396 * 4
     assert ocr.to_gray(np.frombuffer(bytes(r["pixels"]), np.uint8).reshape(396, 306, 4)).min() < 100
+
+
+def test_auto_tagging_is_one_python_stage_without_a_shuffle(spark):
+    texts = spark.createDataFrame([(1, "one line\n1. item"), (2, ""), (3, "\n" * 60 + "last")], "doc_id int, text string")
+    files = pdf.text_documents(texts)
+    parsed = pdf.parse(raster.auto_tagged(files), ["tree"])
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
+    kinds = {r["doc_id"]: r["tree"] and [(e["struct_type"], e["actual_text"]) for e in r["tree"]["elements"]] for r in parsed.collect()}
+    assert kinds == {1: [("Document", None), ("P", "one line"), ("LI", "1. item")], 2: None, 3: [("Document", None), ("P", "last")]}
+    broken = spark.createDataFrame([("bad", bytearray(b"x")), ("none", None)], "doc_id string, content binary")
+    assert {r["doc_id"]: r["content"] and bytes(r["content"]) for r in raster.auto_tagged(broken).collect()} == {"bad": b"x", "none": None}
