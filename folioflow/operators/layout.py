@@ -179,7 +179,8 @@ def page_blocks(runs: list[dict]) -> list[tuple[str, int | None, list[dict]]]:
         return []
     found: list[list[dict]] = []
     anchor = math.nan
-    for r in sorted(runs, key=lambda r: (*_rising(-r["y"]), *_rising(r["x"]))):
+    numbers = all(r["y"] == r["y"] and r["x"] == r["x"] for r in runs)
+    for r in sorted(runs, key=(lambda r: (-r["y"], r["x"])) if numbers else (lambda r: (*_rising(-r["y"]), *_rising(r["x"])))):
         if abs(anchor - r["y"]) <= LINE_TOLERANCE:
             found[-1].append(r)
         else:
@@ -187,10 +188,11 @@ def page_blocks(runs: list[dict]) -> list[tuple[str, int | None, list[dict]]]:
             anchor = r["y"]
     ys = [rs[0]["y"] for rs in found]
     # font statistics
-    halves = Counter(_halves(r["font_size"]) for r in runs)
+    each = [_halves(r["font_size"]) for r in runs]
+    halves = Counter(each)
     size = min(halves, key=lambda h: (-halves[h], *_rising(h)))
     body_size = size / 2
-    body = [r for r in runs if (h := _halves(r["font_size"])) is size or h == size]
+    body = [r for r, h in zip(runs, each, strict=True) if h is size or h == size] if len(halves) > 1 else runs
     names = Counter(r["font_name"] for r in body)
     font = min(names, key=lambda f: (-names[f], f is not None, f or ""))
     body_bold = sum(style_of(r["font_name"])[0] for r in body) > len(body) // 2
@@ -203,7 +205,7 @@ def page_blocks(runs: list[dict]) -> list[tuple[str, int | None, list[dict]]]:
         if len(rs) > 1:
             rs = [r for _, r in sorted(enumerate(rs), key=lambda p: (*_rising(p[1]["x"]), p[1]["run_index"] if "run_index" in p[1] else p[0]))]
         styles = [style_of(r["font_name"]) for r in rs]
-        top = max((r["font_size"] for r in rs), key=_rising)
+        top = max((r["font_size"] for r in rs), key=_rising) if len(rs) > 1 else rs[0]["font_size"]
         top = top if _above(top, 0.0) else 0.0
         heading = _above(top, body_size * HEADING_SIZE) or (any(s[0] for s in styles) and not body_bold and ((k > 0 and _above(abs(ys[k - 1] - ys[k]), far)) or _above(top, body_size)))
         tops.append(min(math.floor(top * 10), 2**63 - 1) if heading and math.isfinite(top * 10) else (0 if top != top else 2**63 - 1) if heading else None)
